@@ -21,6 +21,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -41,7 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     checkpoint_dir(spark)
+    # Python callables shipped to executors (pandas UDFs, applyInPandas) are
+    # pickled with their code, so executors need no installed copy of us.
+    import constella
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(constella)
     _PREPARED.add(key)
     return spark
 

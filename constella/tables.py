@@ -47,7 +47,7 @@ def lineitem_rows(spark, sf_dir) -> DataFrame:
 # ------------------------------------------------------------- feature fixture
 # Nulls by rule (FIXTURES.md "derived edge fixtures"): quantity is missing on
 # every order key divisible by 7, discount on line number 3.
-def features(spark, sf_dir, with_nulls: bool = True) -> DataFrame:
+def features(spark, sf_dir, with_nulls: bool = True, extra: tuple = ()) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
     d = F.col("l_discount")
@@ -56,14 +56,15 @@ def features(spark, sf_dir, with_nulls: bool = True) -> DataFrame:
         d = F.when(F.col("l_linenumber") == 3, F.lit(None).cast("double")).otherwise(d)
     return li.select(lineitem_row_id().alias("row_id"), q.alias("l_quantity"),
                      F.col("l_extendedprice"), d.alias("l_discount"), F.col("l_tax"),
-                     F.col("l_returnflag"))
+                     F.col("l_returnflag"), *extra)
 
 
-def features_sql(with_nulls: bool = True) -> str:
+def features_sql(with_nulls: bool = True, extra: tuple = ()) -> str:
     q = "CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END" if with_nulls else "l_quantity"
     d = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount END" if with_nulls else "l_discount"
+    more = "".join(f", {c}" for c in extra)
     return (f"SELECT {LINEITEM_ROW_ID_SQL} AS row_id, {q} AS l_quantity, l_extendedprice, "
-            f"{d} AS l_discount, l_tax, l_returnflag FROM lineitem")
+            f"{d} AS l_discount, l_tax, l_returnflag{more} FROM lineitem")
 
 
 # ----------------------------------------------------------- 3-D point cloud
@@ -178,7 +179,33 @@ VISUALIZATIONS_SQL = (
     "CAST(l_quantity AS BIGINT) AS view_count FROM lineitem WHERE l_linenumber = 1")
 
 
+# ------------------------------------------------------ labelled point fixtures
+# Deterministic cluster labels for the metric / assembly / explanation
+# operators: the ten embedding labels with label 9 as noise (-1), and the
+# lineitem return flag as a three-way clustering.
+def labelled_points(spark, sf_dir) -> DataFrame:
+    return points3d(spark, sf_dir).withColumn(
+        "cluster", F.when(F.col("label") == 9, F.lit(-1)).otherwise(F.col("label")).cast("int"))
+
+
+LABELLED_POINTS_SQL = (f"SELECT *, CAST(CASE WHEN label = 9 THEN -1 ELSE label END AS INTEGER) AS cluster "
+                       f"FROM ({POINTS3D_SQL})")
+
+
+def labelled_rows(spark, sf_dir) -> DataFrame:
+    return features(spark, sf_dir, extra=("l_linestatus",)).withColumn(
+        "cluster", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1)
+        .otherwise(2).cast("int"))
+
+
+LABELLED_ROWS_SQL = (
+    "SELECT *, CAST(CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 "
+    f"ELSE 2 END AS INTEGER) AS cluster FROM ({features_sql(True, extra=('l_linestatus',))})")
+
+
 FIXTURE_SQL = {
+    "labelled_points": LABELLED_POINTS_SQL,
+    "labelled_rows": LABELLED_ROWS_SQL,
     "features": features_sql(True),
     "points3d": POINTS3D_SQL,
     "users": USERS_SQL,
