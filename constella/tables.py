@@ -123,7 +123,7 @@ def datasets(spark, sf_dir) -> DataFrame:
         (F.col("o_totalprice") / 100).cast("bigint").alias("row_count"),
         F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_orderkey") % 4 == 0, F.lit(None).cast("bigint"))
-         .otherwise(F.col("o_orderkey") - (F.col("o_orderkey") % 4)).alias("parent_id"),
+         .otherwise(F.col("o_orderkey") - 1).alias("parent_id"),
         (F.col("o_orderkey") % 4 + 1).cast("int").alias("version"))
 
 
@@ -134,7 +134,7 @@ DATASETS_SQL = (
     "concat_ws(',', substring(o_orderpriority, 3, 20), o_orderstatus) AS tags, "
     "CAST(trunc(o_totalprice * 10) AS BIGINT) AS size_bytes, CAST(trunc(o_totalprice / 100) AS BIGINT) AS row_count, "
     "o_orderdate AS created_at, "
-    "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey - (o_orderkey % 4) END AS parent_id, "
+    "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey - 1 END AS parent_id, "
     "CAST(o_orderkey % 4 + 1 AS INTEGER) AS version FROM orders")
 
 
@@ -221,6 +221,8 @@ def with_fixtures(sql: str, *names: str) -> str:
         return sql
     ctes = ", ".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
