@@ -149,18 +149,9 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100,
     limit = int(math.ceil(math.log2(psi)))
     p = min(1.0, 3.0 * psi / n + 32.0 / n)
     src = df.select(_q(id_col).alias("__id"), *[_q(c).cast("double").alias(c) for c in cols])
-    nodes_pdf = None
-    for _attempt in range(6):
-        u = lambda t: (F.abs(F.xxhash64(F.lit(seed), t, F.col("__id"))) % F.lit(1 << 53)).cast("double") \
+    def u(t):
+        return (F.abs(F.xxhash64(F.lit(seed), t, F.col("__id"))) % F.lit(1 << 53)).cast("double") \
             / F.lit(float(1 << 53))
-        picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
-        cand = src.select("*", F.explode(picked).alias("tree")).withColumn("__u", u(F.col("tree")))
-        w = Window.partitionBy("tree").orderBy("__u", "__id")
-        sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi)
-        counts = {r["tree"]: r["c"] for r in sample.groupBy("tree").agg(F.count(F.lit(1)).alias("c")).collect()}
-        if p >= 1.0 or (len(counts) == n_trees and min(counts.values()) >= psi):
-            break
-        p = min(1.0, p * 2)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
@@ -174,7 +165,19 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100,
                              "left": np.array(left, dtype=np.int32), "right": np.array(right, dtype=np.int32),
                              "size": np.array(size, dtype=np.int32)})
 
-    nodes_pdf = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    for _attempt in range(8):
+        picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
+        cand = src.select("*", F.explode(picked).alias("tree")).withColumn("__u", u(F.col("tree")))
+        # literal rank limit: a partial top-psi per tree runs before the shuffle
+        w = Window.partitionBy("tree").orderBy("__u", "__id")
+        sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi)
+        nodes_pdf = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+        roots = nodes_pdf[nodes_pdf["node"] == 0]
+        # every tree must have drawn its psi rows (else the threshold was too
+        # tight for this data: retry with a wider one; p = 1 takes every row)
+        if p >= 1.0 or (len(roots) == n_trees and int(roots["size"].min()) >= psi):
+            break
+        p = min(1.0, p * 2)
     width = int(nodes_pdf["node"].max()) + 1
     shape = (n_trees, width)
     feature = np.full(shape, -1, dtype=np.int64)

@@ -62,14 +62,27 @@ def renumber(centres: np.ndarray) -> np.ndarray:
     return centres[order]
 
 
+def spark_tolerance(tol: float, mean_variance: float) -> float:
+    """The reference's tolerance is relative: converged when the squared
+    centre shift is <= tol * (mean feature variance). Spark's is an absolute
+    shift distance, so the same rule is sqrt(tol * mean variance)."""
+    return float(np.sqrt(max(tol * mean_variance, 1e-24)))
+
+
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, init: str = "k-means++", max_iter: int = 300,
-           tol: float = 1e-4, n_init: int = 1, seed: int = 42) -> CentresModel:
+           tol: float = 1e-4, n_init: int = 1, seed: int = 42, mean_variance: float | None = None) -> CentresModel:
     """K-means on Spark ML; the best of ``n_init`` seeds by training cost.
 
-    k is clamped to [2, n - 1] only by the caller (it needs a count)."""
+    ``tol`` has the reference's (relative) meaning; ``mean_variance`` saves an
+    aggregate when the caller knows it. k is clamped to [2, n - 1] only by the
+    caller (it needs a count)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
+    if mean_variance is None:
+        r = df.agg(*[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+        mean_variance = float(np.mean([r[f"v{i}"] or 0.0 for i in range(len(cols))]))
+    abs_tol = spark_tolerance(tol, mean_variance)
     data = VectorAssembler(inputCols=list(cols), outputCol="__features", handleInvalid="skip") \
         .transform(df.select(*cols)).select("__features")
     data = data.persist()
@@ -77,7 +90,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, init: str = "k-means+
         best = None
         mode = "random" if init == "random" else "k-means||"
         for i in range(max(1, n_init)):
-            km = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, initMode=mode, featuresCol="__features")
+            km = KMeans(k=k, maxIter=max_iter, tol=abs_tol, seed=seed + i, initMode=mode, featuresCol="__features")
             model = km.fit(data)
             cost = model.summary.trainingCost
             if best is None or cost < best[0]:

@@ -103,7 +103,9 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
     centres = None
     if cfg.clustering == "kmeans":
         k = cfg.n_clusters
-        centres = K.kmeans(coords, ["x", "y", "z"], k=k, n_init=cfg.kmeans_n_init, seed=cfg.random_state)
+        # the coordinates' variances are the PCA eigenvalues: no extra pass
+        centres = K.kmeans(coords, ["x", "y", "z"], k=k, n_init=cfg.kmeans_n_init, seed=cfg.random_state,
+                           mean_variance=float(pca.variances.mean()) if len(pca.variances) else None)
         coords = centres.assign(coords, "cluster")
     else:
         raise ValueError(f"run_analysis supports kmeans; use the cluster operators for {cfg.clustering}")
