@@ -236,3 +236,98 @@ def score_summary(scored: DataFrame, score: str = "score", flag: str = "is_anoma
         F.avg(F.when(~_q(flag), _q(score))).alias("mean_score_normal"),
         F.min(_q(score)).alias("min_score"), F.max(_q(score)).alias("max_score"),
         F.lit(threshold).cast("double").alias("threshold"))
+
+
+# ------------------------------------------------------------------ A5
+def _moments(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean and population (maximum-likelihood) covariance in one pass."""
+    d = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.covar_pop(_q(cols[i]), _q(cols[j])).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+    r = df.agg(*aggs).first()
+    mean = np.array([r[f"m{i}"] or 0.0 for i in range(d)])
+    cov = np.zeros((d, d))
+    for i in range(d):
+        for j in range(i, d):
+            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] or 0.0
+    return mean, cov, r["n"]
+
+
+def mahalanobis_expr(cols: Sequence[str], mean: np.ndarray, cov: np.ndarray) -> Column:
+    """Squared Mahalanobis distance as a column expression (d x d literals)."""
+    inv = np.linalg.pinv(cov)
+    diffs = [_q(c) - F.lit(float(m)) for c, m in zip(cols, mean)]
+    expr = None
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            t = diffs[i] * diffs[j] * F.lit(float(inv[i, j]))
+            expr = t if expr is None else expr + t
+    return expr
+
+
+def elliptic_envelope(df: DataFrame, cols: Sequence[str], contamination: float = 0.1,
+                      support_fraction: float | None = None, max_steps: int = 30,
+                      id_col: str = "row_id") -> tuple[DataFrame, dict]:
+    """Robust covariance by concentration steps (the C-step of MCD): fit mean
+    and covariance on the current support, keep the h rows with the smallest
+    Mahalanobis distance (threshold = exact quantile, no sort of the rows),
+    repeat until the determinant stops falling. Score = squared Mahalanobis
+    distance under the robust fit; flagged above the (1 - contamination)
+    quantile."""
+    cols = list(cols)
+    src = df.select(_q(id_col), *[_q(c).cast("double").alias(c) for c in cols]).dropna()
+    n = src.count()
+    d = len(cols)
+    frac = support_fraction if support_fraction is not None else (n + d + 1) / (2.0 * n)
+    if n < 100 and support_fraction is None:
+        frac = 0.8
+    support = src
+    best_det, mean, cov = None, None, None
+    for _ in range(max_steps):
+        m, c, _n = _moments(support, cols)
+        det = float(np.linalg.det(c))
+        if best_det is not None and det >= best_det * (1 - 1e-12):
+            break
+        best_det, mean, cov = det, m, c
+        dist = src.withColumn("__d2", mahalanobis_expr(cols, mean, cov))
+        cut = exact_quantiles(dist, ["__d2"], [frac])[("__d2", frac)]
+        support = dist.where(F.col("__d2") <= F.lit(cut)).drop("__d2")
+    scored = src.select(_q(id_col), mahalanobis_expr(cols, mean, cov).alias("score"))
+    flagged, thr = threshold_flags(scored, contamination)
+    return flagged, {"location": mean.tolist(), "covariance": cov.tolist(), "determinant": best_det,
+                     "threshold": thr}
+
+
+# ------------------------------------------------------------------ A6
+def ensemble(scores: dict[str, DataFrame], weights: dict[str, float] | None = None, vote_share: float = 0.5,
+             score_quantile: float = 0.9, id_col: str = "row_id") -> DataFrame:
+    """Combine detectors (each: id, score with high = anomalous, is_anomaly):
+    min-max normalised weighted score sum; anomalous when at least
+    ``vote_share`` of the detectors flag the row OR the combined score reaches
+    its ``score_quantile``. One union, one grouped sum per row; the per-
+    detector min/max are a d-row aggregate."""
+    names = list(scores)
+    w = weights or {n: 1.0 for n in names}
+    tot = sum(w[n] for n in names)
+    parts = [scores[n].select(_q(id_col), F.lit(n).alias("detector"), F.col("score").cast("double").alias("score"),
+                              F.col("is_anomaly").cast("int").alias("vote")) for n in names]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    rng = {r["detector"]: (r["lo"], r["hi"]) for r in
+           u.groupBy("detector").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
+    norm = F.lit(None).cast("double")
+    for n in names:
+        lo, hi = rng.get(n, (0.0, 0.0))
+        lo = lo if lo is not None else 0.0
+        hi = hi if hi is not None else 0.0
+        norm = F.when(F.col("detector") == n, (F.col("score") - F.lit(lo)) / F.lit(hi - lo + 1e-8)
+                      * F.lit(w[n] / tot)).otherwise(norm)
+    per_row = u.withColumn("weighted", norm).groupBy(id_col).agg(
+        F.sum("weighted").alias("ensemble_score"), F.sum("vote").alias("votes"))
+    thr = exact_quantiles(per_row, ["ensemble_score"], [score_quantile])[("ensemble_score", score_quantile)]
+    k = len(names)
+    return per_row.select(
+        id_col, "ensemble_score", F.col("votes").cast("int").alias("votes"),
+        ((F.col("votes") >= F.lit(k * vote_share)) | (F.col("ensemble_score") >= F.lit(thr))).alias("is_anomaly"),
+        (F.col("votes") / F.lit(float(k))).alias("agreement"))

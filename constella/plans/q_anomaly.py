@@ -10,7 +10,7 @@ from constella.operators import anomaly as A
 from constella.operators import clean as C
 from constella.plans.registry import register
 from constella.tables import NUMERIC_FEATURES as FEATS
-from constella.tables import features, load, with_fixtures
+from constella.tables import features, load, points3d, with_fixtures
 
 
 @register("a1_isolation_forest")
@@ -38,6 +38,70 @@ def a2_estimate_contamination(spark, sf):
     return e.select(round_to("outlier_share").alias("outlier_share"), round_to("contamination").alias("contamination"))
 
 
+_MAHA_XY = ("mst AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, x) AS a, covar_pop(x, y) AS b, "
+            "covar_pop(y, y) AS c FROM points3d), mh AS (SELECT row_id, (c * (x - mx) * (x - mx) - 2 * b * (x - mx) * "
+            "(y - my) + a * (y - my) * (y - my)) / (a * c - b * b) AS score FROM points3d, mst)")
+
+
+@register("a5_mahalanobis", with_fixtures(
+    f"WITH {_MAHA_XY} SELECT row_id, {R('score')} AS score FROM mh", "points3d"))
+def a5_mahalanobis(spark, sf):
+    """Squared Mahalanobis distance under the classical (maximum-likelihood)
+    fit of (x, y): the distance the robust envelope applies."""
+    pts = points3d(spark, sf)
+    mean, cov, _ = A._moments(pts, ["x", "y"])
+    return pts.select("row_id", round_to(A.mahalanobis_expr(["x", "y"], mean, cov)).alias("score"))
+
+
+@register("a5_elliptic_envelope")
+def a5_elliptic_envelope(spark, sf):
+    """Rows-only: robust covariance (concentration steps) on the 3-D cloud."""
+    flagged, _ = A.elliptic_envelope(points3d(spark, sf), ["x", "y", "z"], contamination=0.1)
+    return flagged
+
+
+def _ensemble_parts(spark, sf):
+    from constella.operators import neighbors as N
+
+    pts = points3d(spark, sf)
+    lof, _ = A.threshold_flags(N.lof(pts, ["x", "y", "z"], 20), 0.1)
+    r = pts.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    z, _ = A.threshold_flags(pts.select("row_id", (F.abs(F.col("x") - F.lit(r["m"])) / F.lit(r["s"])).alias("score")),
+                             0.1)
+    mean, cov, _ = A._moments(pts, ["x", "y"])
+    mh, _ = A.threshold_flags(pts.select("row_id", A.mahalanobis_expr(["x", "y"], mean, cov).alias("score")), 0.1)
+    return {"lof": lof, "zscore": z, "mahalanobis": mh}
+
+
+def _a6_sql() -> str:
+    from constella.plans.q_neighbors import _knn_sql
+
+    return with_fixtures(
+        f"WITH {_knn_sql(20)}, kd AS (SELECT row_id AS o, max(distance) AS kdist FROM knn GROUP BY row_id), "
+        "reach AS (SELECT k.row_id AS p, greatest(k.distance, kd.kdist) AS reach FROM knn k JOIN kd ON kd.o = "
+        "k.neighbor_id), lrd AS (SELECT p, 1.0 / (avg(reach) + 1e-10) AS lrd FROM reach GROUP BY p), "
+        "lf AS (SELECT k.row_id, avg(l2.lrd) / max(l1.lrd) AS score FROM knn k JOIN lrd l2 ON l2.p = k.neighbor_id "
+        "JOIN lrd l1 ON l1.p = k.row_id GROUP BY k.row_id), "
+        "zs AS (SELECT row_id, abs(x - (SELECT avg(x) FROM points3d)) / (SELECT stddev_pop(x) FROM points3d) AS score "
+        f"FROM points3d), {_MAHA_XY}, "
+        "u AS (SELECT 'lof' AS det, * FROM lf UNION ALL SELECT 'zscore', * FROM zs UNION ALL SELECT 'mahalanobis', * "
+        "FROM mh), fl AS (SELECT u.*, u.score > quantile_cont(u.score, 0.9) OVER (PARTITION BY det) AS flag, "
+        "min(u.score) OVER (PARTITION BY det) AS lo, max(u.score) OVER (PARTITION BY det) AS hi FROM u), "
+        "per AS (SELECT row_id, sum((score - lo) / (hi - lo + 1e-8) * (1.0 / 3)) AS ens, sum(CAST(flag AS INTEGER)) "
+        "AS votes FROM fl GROUP BY row_id), th AS (SELECT quantile_cont(ens, 0.9) AS t FROM per) "
+        f"SELECT row_id, {R('ens')} AS ensemble_score, CAST(votes AS INTEGER) AS votes, votes >= 1.5 OR ens >= t "
+        f"AS is_anomaly, {R('votes / 3.0')} AS agreement FROM per, th", "points3d")
+
+
+@register("a6_ensemble", _a6_sql())
+def a6_ensemble(spark, sf):
+    """LOF, |z| of x and Mahalanobis of (x, y), each flagged at its 90th
+    percentile, combined with equal weights."""
+    e = A.ensemble(_ensemble_parts(spark, sf))
+    return e.select("row_id", round_to("ensemble_score").alias("ensemble_score"), "votes", "is_anomaly",
+                    round_to("agreement").alias("agreement"))
+
+
 @register("a7_score_summary",
           "WITH st AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders), "
           "sc AS (SELECT abs((o_totalprice - m) / s) AS score FROM orders, st), "
