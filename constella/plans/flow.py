@@ -125,6 +125,84 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
     return AnalysisResult(pts, clusters, anomalies, meta, pca, centres, threshold, steps, time.time() - t0)
 
 
+def stage_pipeline(df: DataFrame, cols: Sequence[str], stages: Sequence[tuple[str, str, dict]],
+                   id_col: str = "row_id") -> dict:
+    """User-chosen ordered stages (kind, algorithm, params). Only a
+    reduction changes the coordinates the next stages see; clustering and
+    anomaly stages add columns. Returns the point table and one metrics row
+    per stage."""
+    from constella.operators import embed as EM
+    from constella.operators import hierarchy as H
+    from constella.operators import metrics as M
+    from constella.operators import neighbors as N
+
+    spark = df.sparkSession
+    cur = df.select(id_col, *cols)
+    feats = list(cols)
+    labels = None
+    flags = None
+    metrics = []
+    for kind, algo, params in stages:
+        t0 = time.time()
+        if kind == "reduce":
+            if algo == "pca":
+                cur, _m = D.pca(cur, feats, params.get("n_components", 3))
+            elif algo == "kernel_pca":
+                cur, _m = EM.kernel_pca(cur, feats, 3, m=params.get("m", 100))
+            elif algo == "mds":
+                cur, _m = EM.landmark_mds(cur, feats, 3, m=params.get("m", 200))
+            else:
+                raise ValueError(f"unknown reducer {algo}")
+            cur = cur.persist()
+            feats = ["x", "y", "z"]
+            metrics.append((kind, algo, "total_variance", float(sum(
+                v or 0.0 for v in D.embedding_variance(cur).first()[:3]))))
+        elif kind == "cluster":
+            if algo == "kmeans":
+                labels = K.kmeans(cur, feats, k=params.get("k", 3)).assign(cur.select(id_col, *feats))
+            elif algo == "dbscan":
+                lab = N.dbscan(cur, feats, params.get("eps", 0.5), params.get("min_samples", 5), id_col)
+                labels = cur.join(lab.select(id_col, "cluster"), id_col)
+            elif algo == "agglomerative":
+                lab = H.agglomerative(cur, feats, params.get("k", 3), params.get("linkage", "ward"), id_col=id_col)
+                labels = cur.join(lab, id_col)
+            else:
+                raise ValueError(f"unknown clusterer {algo}")
+            labels = labels.select(id_col, "cluster").persist()
+            sil = M.silhouette_sq(cur.join(labels, id_col), feats).first()[0]
+            metrics.append((kind, algo, "silhouette_sq", float(sil) if sil is not None else None))
+        elif kind == "anomaly":
+            if algo == "lof":
+                scored = N.lof(cur, feats, params.get("k", 20), id_col)
+            elif algo == "isolation_forest":
+                forest = A.fit_isolation_forest(cur, feats, params.get("n_trees", 100), 256, 42, id_col)
+                scored = cur.select(id_col, forest.score_column(spark).alias("score"))
+            elif algo == "elliptic_envelope":
+                scored, _ = A.elliptic_envelope(cur, feats, params.get("contamination", 0.1), id_col=id_col)
+                scored = scored.select(id_col, "score")
+            else:
+                raise ValueError(f"unknown detector {algo}")
+            flags, _thr = A.threshold_flags(scored.persist(), params.get("contamination", 0.1))
+            share = flags.agg(F.avg(F.col("is_anomaly").cast("double"))).first()[0]
+            metrics.append((kind, algo, "flagged_share", float(share)))
+        else:
+            raise ValueError(f"unknown stage kind {kind}")
+        metrics[-1] = metrics[-1] + (time.time() - t0,)
+    pts = cur
+    if labels is not None:
+        pts = pts.join(labels, id_col, "left")
+    else:
+        pts = pts.withColumn("cluster", F.lit(-1))
+    if flags is not None:
+        pts = pts.join(flags.select(id_col, "score", "is_anomaly"), id_col, "left")
+    else:
+        pts = pts.withColumn("score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
+    pts = R.decorate(pts.withColumn("is_anomaly", F.coalesce("is_anomaly", F.lit(False))), "cluster", "is_anomaly")
+    mdf = spark.createDataFrame(metrics, "stage string, algorithm string, metric string, value double, "
+                                         "seconds double")
+    return {"points": pts, "metrics": mdf}
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     """entry(): lineitem features -> mean impute -> standard scale -> PCA ->
     k-means (k=3) -> isolation forest -> one row per cluster."""

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 MODULES = ["q_profile", "q_clean", "q_reduce", "q_cluster", "q_anomaly", "q_assemble",
-           "q_catalogue", "q_points", "q_streaming", "q_sources", "q_tune", "q_neighbors"]
+           "q_catalogue", "q_points", "q_streaming", "q_sources", "q_tune", "q_neighbors", "q_embed"]
 
 
 def load_all() -> None:
