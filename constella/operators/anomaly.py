@@ -117,26 +117,28 @@ class Forest:
 
 
 def path_lengths(forest: dict, X: np.ndarray) -> np.ndarray:
-    """Mean isolation depth of each row over all trees, vectorised per tree."""
+    """Mean isolation depth of each row over all trees: every tree walks in
+    lock-step (one (rows x trees) gather per level, depth <= log2 psi)."""
     feature, threshold = forest["feature"], forest["threshold"]
     left, right, adjust = forest["left"], forest["right"], forest["leaf_adjust"]
     n, trees = len(X), feature.shape[0]
-    total = np.zeros(n)
-    rows = np.arange(n)
-    for t in range(trees):
-        node = np.zeros(n, dtype=np.int64)
-        depth = np.zeros(n)
-        for _ in range(forest["depth_limit"] + 1):
-            f = feature[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            x = X[rows, np.where(inner, f, 0)]
-            nxt = np.where(x < threshold[t, node], left[t, node], right[t, node])
-            node = np.where(inner, nxt, node)
-            depth += inner
-        total += depth + adjust[t, node]
-    return total / max(trees, 1)
+    if n == 0:
+        return np.zeros(0)
+    tree_ix = np.broadcast_to(np.arange(trees), (n, trees))
+    row_ix = np.broadcast_to(np.arange(n)[:, None], (n, trees))
+    node = np.zeros((n, trees), dtype=np.int64)
+    depth = np.zeros((n, trees))
+    for _ in range(forest["depth_limit"] + 1):
+        f = feature[tree_ix, node]
+        inner = f >= 0
+        if not inner.any():
+            break
+        x = X[row_ix, np.where(inner, f, 0)]
+        go_left = x < threshold[tree_ix, node]
+        nxt = np.where(go_left, left[tree_ix, node], right[tree_ix, node])
+        node = np.where(inner, nxt, node)
+        depth += inner
+    return (depth + adjust[tree_ix, node]).mean(axis=1)
 
 
 def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, max_samples: int = 256,
@@ -165,9 +167,22 @@ def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100,
                              "left": np.array(left, dtype=np.int32), "right": np.array(right, dtype=np.int32),
                              "size": np.array(size, dtype=np.int32)})
 
+    # Large inputs (n >= 8 x trees x psi): one hash per row picks its tree
+    # (floor(u * trees)) and its rank key inside that tree (frac(u * trees)),
+    # so every tree samples psi rows uniformly from its own random share of
+    # the data and only ~3 psi rows per tree are kept. Small inputs: every
+    # tree samples independently from all rows (a hash per row and tree).
+    disjoint = n >= 8 * n_trees * psi
+    if disjoint:
+        p = min(1.0, 3.0 * psi * n_trees / n)
     for _attempt in range(8):
-        picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
-        cand = src.select("*", F.explode(picked).alias("tree")).withColumn("__u", u(F.col("tree")))
+        if disjoint:
+            v = u(F.lit(-1)) * F.lit(float(n_trees))
+            cand = src.select("*", F.floor(v).cast("int").alias("tree"), (v - F.floor(v)).alias("__u")) \
+                .where(F.col("__u") < F.lit(p))
+        else:
+            picked = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(p))
+            cand = src.select("*", F.explode(picked).alias("tree")).withColumn("__u", u(F.col("tree")))
         # literal rank limit: a partial top-psi per tree runs before the shuffle
         w = Window.partitionBy("tree").orderBy("__u", "__id")
         sample = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi)

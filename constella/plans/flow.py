@@ -21,6 +21,7 @@ from constella.operators import assemble as R
 from constella.operators import clean as C
 from constella.operators import cluster as K
 from constella.operators import reduce as D
+from constella.session import ensure_parallelism
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,9 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
     source = df
     feats, steps = preprocess(df, cols, cfg.missing, cfg.outliers, cfg.scaling, cfg.max_samples,
                               cfg.random_state, id_col)
-    feats = feats.persist()
+    # the scaled features are read by every fit below: cache them, spread
+    # over the cluster when the input arrived in too few splits
+    feats = ensure_parallelism(feats).persist()
     pca = D.fit_pca(feats, cols, 3)
     coords = pca.transform(feats, keep=[id_col, *cols])
     centres = None

@@ -76,6 +76,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/constella/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ensure_parallelism(df, minimum: int | None = None):
+    """Spread an under-partitioned frame (e.g. one large file with a single
+    row group) over the cluster before iterative work reuses it. A frame that
+    already has enough partitions is returned as is: no extra shuffle at
+    scale."""
+    want = minimum or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
