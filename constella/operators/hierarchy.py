@@ -33,13 +33,18 @@ def single_linkage_threshold(points: DataFrame, cols: Sequence[str], threshold:
                              id_col: str = "row_id") -> DataFrame:
     """(row_id, cluster): single-linkage clusters cut at ``threshold``,
     numbered 0.. by their smallest row id."""
-    pairs = neighbour_pairs(points, cols, threshold, id_col).where(
+    # rows sharing a coordinate are always together: link distinct
+    # coordinates (vertex id = smallest row id there), then join rows back
+    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    coords = pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("id"))
+    pairs = neighbour_pairs(coords, cols, threshold, "id").where(
         (F.col("dist") <= F.lit(threshold)) & (F.col("qid") < F.col("pid")))
-    verts = points.select(_q(id_col).alias("id"))
-    comp = connected_components(verts, pairs.select(F.col("qid").alias("src"), F.col("pid").alias("dst")))
+    comp = connected_components(coords.select("id"), pairs.select(F.col("qid").alias("src"),
+                                                                  F.col("pid").alias("dst")))
     number = comp.select("component").distinct().withColumn(
         "cluster", (F.dense_rank().over(Window.orderBy("component")) - 1).cast("int"))
-    return comp.join(number, "component").select(F.col("id").alias(id_col), "cluster")
+    lab = coords.join(comp, "id").join(number, "component").select(*cols, "cluster")
+    return pts.join(lab, list(cols)).select(id_col, "cluster")
 
 
 def _lance_williams(cent: np.ndarray, size: np.ndarray, k: int, linkage: str) -> np.ndarray:

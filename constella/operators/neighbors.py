@@ -78,14 +78,38 @@ def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_
              max_rounds: int = 40) -> DataFrame:
     """Exact k nearest neighbours of every point (itself excluded; ties by
     id): rows (row_id, neighbor_id, rank, distance)."""
-    r, diameter, n = _initial_radius(points, cols, k)
+    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    r, diameter, n = _initial_radius(pts, cols, k)
     k_eff = min(k, max(n - 1, 0))
-    pts = points.select(_q(id_col), *[_q(c) for c in cols])
-    pending = pts
+    # A coordinate held by more than k rows is "heavy": every row there has k
+    # neighbours at distance 0, the smallest ids of the group (ties go by id),
+    # and no other row can use more than its k + 1 smallest ids. So heavy
+    # rows are answered from that short list, and the join side keeps only
+    # those k + 1 representatives: a coordinate holding a third of all rows
+    # costs k + 1 rows, not a third of all rows squared.
+    heavy_coords = (pts.groupBy(*[_q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__m"))
+                    .where(F.col("__m") > k_eff).select(*cols, F.lit(True).alias("__heavy")))
     done = None
+    data = pts
+    pending = pts
+    if k_eff > 0 and heavy_coords.limit(1).count() > 0:
+        tagged = pts.join(heavy_coords, list(cols), "left")
+        light = tagged.where(F.col("__heavy").isNull()).select(id_col, *cols)
+        heavy = tagged.where(F.col("__heavy")).select(id_col, *cols)
+        w = Window.partitionBy(*cols).orderBy(id_col)
+        reps = heavy.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k_eff + 1).drop("__r")
+        reps = cut_lineage(reps)
+        q, p = heavy.alias("q"), reps.alias("p")
+        same = q.join(p, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in cols]).where(
+            F.col(f"q.{id_col}") != F.col(f"p.{id_col}")).select(
+            F.col(f"q.{id_col}").alias("qid"), F.col(f"p.{id_col}").alias("pid"), F.lit(0.0).alias("dist"))
+        ws = Window.partitionBy("qid").orderBy("pid")
+        done = same.withColumn("rank", F.row_number().over(ws)).where(F.col("rank") <= k_eff)
+        data = light.unionByName(reps)
+        pending = light
     for _ in range(max_rounds):
         last = r >= diameter
-        pairs = neighbour_pairs(pts, cols, r, id_col, queries=pending).where(F.col("qid") != F.col("pid"))
+        pairs = neighbour_pairs(data, cols, r, id_col, queries=pending).where(F.col("qid") != F.col("pid"))
         w = Window.partitionBy("qid").orderBy("dist", "pid")
         top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
         top = cut_lineage(top)
@@ -101,6 +125,9 @@ def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_
         if last or pending.limit(1).count() == 0:
             break
         r *= 2.0
+    if done is None:
+        return pts.limit(0).select(F.col(id_col), F.col(id_col).alias("neighbor_id"), F.lit(0).alias("rank"),
+                                   F.lit(0.0).alias("distance"))
     return done.select(F.col("qid").alias(id_col), F.col("pid").alias("neighbor_id"), F.col("rank").cast("int"),
                        F.col("dist").alias("distance"))
 
@@ -133,11 +160,21 @@ def dbscan(points: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples
            id_col: str = "row_id") -> DataFrame:
     """(row_id, cluster, is_core); cluster -1 = noise. Clusters are numbered
     0.. by their smallest core row id (the order a scan in id order meets
-    them)."""
-    pts = points.select(_q(id_col), *[_q(c) for c in cols])
-    pairs = neighbour_pairs(pts, cols, eps, id_col).where(F.col("dist") <= F.lit(eps))
+    them).
+
+    DBSCAN depends only on coordinates, so it runs on the *distinct*
+    coordinates with their multiplicity: a neighbour count is a weighted sum,
+    and a coordinate holding a third of all rows is one vertex, not a third
+    of all rows squared in pairs. Rows get their coordinate's label back by an
+    equi-join (AQE splits a hot key)."""
+    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    coords = pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("cid"),
+                                                      F.count(F.lit(1)).alias("m"))
+    coords = cut_lineage(coords)
+    pairs = neighbour_pairs(coords, cols, eps, "cid").where(F.col("dist") <= F.lit(eps))
     pairs = cut_lineage(pairs)
-    counts = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))  # includes the point itself
+    weight = coords.select(F.col("cid").alias("pid"), "m")
+    counts = pairs.join(weight, "pid").groupBy("qid").agg(F.sum("m").alias("n"))  # includes the point itself
     core = counts.where(F.col("n") >= min_samples).select(F.col("qid").alias("id"))
     core = cut_lineage(core)
     core_edges = (pairs.where(F.col("qid") < F.col("pid"))
@@ -153,9 +190,9 @@ def dbscan(points: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples
               .join(core.withColumnRenamed("id", "qid"), "qid", "left_anti")
               .groupBy(F.col("qid").alias("id")).agg(F.min("cluster").alias("cluster")))
     labels = core_lab.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
-    return (pts.select(_q(id_col)).join(labels.withColumnRenamed("id", id_col), id_col, "left")
-            .select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"),
-                    F.coalesce("is_core", F.lit(False)).alias("is_core")))
+    coord_labels = coords.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select(
+        *cols, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return pts.join(coord_labels, list(cols), "left").select(id_col, "cluster", "is_core")
 
 
 # ------------------------------------------------------------------ LOF

@@ -53,7 +53,11 @@ def _brute_knn(X, k):
 
 def test_knn_join_exact_with_duplicates_and_clusters(spark):
     rng = np.random.default_rng(1)
-    X = np.concatenate([rng.normal(0, 0.05, (60, 3)), rng.normal(5, 1, (40, 3)), np.zeros((15, 3))])
+    # dense blob, sparse blob, a hot duplicate coordinate (45 rows) and a
+    # light duplicate pair, ids deliberately not in coordinate order
+    X = np.concatenate([rng.normal(0, 0.05, (60, 3)), rng.normal(5, 1, (40, 3)), np.zeros((45, 3)),
+                        [[5.0, 5.0, 5.0], [5.0, 5.0, 5.0]]])
+    X = X[rng.permutation(len(X))]
     df = _frame(spark, X, ["x", "y", "z"])
     got = N.knn_join(df, ["x", "y", "z"], 4).collect()
     by = {}
@@ -94,7 +98,9 @@ def _brute_dbscan(X, eps, min_samples):
 
 def test_dbscan_matches_brute_force(spark):
     rng = np.random.default_rng(2)
-    X = np.concatenate([rng.normal(0, 0.2, (50, 2)), rng.normal(3, 0.2, (50, 2)), rng.uniform(-5, 8, (15, 2))])
+    # a hot coordinate (a third of the rows share one point) and a 2-copy pair
+    X = np.concatenate([rng.normal(0, 0.2, (50, 2)), rng.normal(3, 0.2, (50, 2)), rng.uniform(-5, 8, (15, 2)),
+                        np.full((60, 2), 3.0), [[7.5, -4.0], [7.5, -4.0]]])
     df = _frame(spark, X, ["x", "y"])
     got = {r["row_id"]: r["cluster"] for r in N.dbscan(df, ["x", "y"], 0.4, 5).collect()}
     want = _brute_dbscan(X, 0.4, 5)
