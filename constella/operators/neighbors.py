@@ -41,13 +41,14 @@ def _offsets(d: int) -> Column:
     return F.array(*[F.array(*[F.lit(o) for o in off]) for off in offs])
 
 
-def _dist(cols: Sequence[str], a: str, b: str) -> Column:
-    return F.sqrt(sum([(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols[1:]],
-                      (F.col(f"{a}.{cols[0]}") - F.col(f"{b}.{cols[0]}")) ** 2))
+def _dist(cols: Sequence[str], a: str, b: str, weight: float = 1.0) -> Column:
+    ss = sum([(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols[1:]],
+             (F.col(f"{a}.{cols[0]}") - F.col(f"{b}.{cols[0]}")) ** 2)
+    return F.sqrt(ss) if weight == 1.0 else F.sqrt(F.lit(float(weight)) * ss)
 
 
 def neighbour_pairs(points: DataFrame, cols: Sequence[str], r: float, id_col: str = "row_id",
-                    queries: DataFrame | None = None) -> DataFrame:
+                    queries: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
     """All (q, p) with p in q's 3^d neighbour cells at side r, with distance.
     ``queries`` (default: all points) are the probing side."""
     d = len(cols)
@@ -60,7 +61,8 @@ def neighbour_pairs(points: DataFrame, cols: Sequence[str], r: float, id_col: st
     a, b = probe.alias("a"), data.alias("b")
     on = [F.col(f"a.c{i}") == F.col(f"b.c{i}") for i in range(d)]
     j = a.join(b, on)
-    return j.select(F.col("a.qid").alias("qid"), F.col("b.pid").alias("pid"), _dist(cols, "a", "b").alias("dist"))
+    return j.select(F.col("a.qid").alias("qid"), F.col("b.pid").alias("pid"),
+                    _dist(cols, "a", "b", weight).alias("dist"))
 
 
 def _initial_radius(points: DataFrame, cols: Sequence[str], k: int) -> tuple[float, float, int]:
@@ -74,6 +76,102 @@ def _initial_radius(points: DataFrame, cols: Sequence[str], k: int) -> tuple[flo
     return max(side, diameter * 1e-9), diameter, n
 
 
+def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff: int, r: float, diameter: float,
+                 id_col: str, done: DataFrame | None, max_rounds: int, weight: float = 1.0) -> DataFrame | None:
+    """Resolve every pending query against ``data``: top-k candidates from
+    the 3^d cells at side r; a query with k candidates within r is exact;
+    the rest retry at 2r. ``weight`` scales squared distances (nan-Euclidean)."""
+    limit = r
+    for _ in range(max_rounds):
+        last = limit >= diameter
+        pairs = neighbour_pairs(data, cols, limit, id_col, queries=pending, weight=weight).where(
+            F.col("qid") != F.col("pid"))
+        w = Window.partitionBy("qid").orderBy("dist", "pid")
+        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
+        top = cut_lineage(top)
+        if last:
+            resolved_ids = pending.select(_q(id_col).alias("qid"))
+        else:
+            reach = limit * math.sqrt(weight)
+            resolved_ids = (top.groupBy("qid").agg(F.count_if(F.col("dist") <= F.lit(reach)).alias("m"))
+                            .where(F.col("m") >= k_eff).select("qid"))
+        got = top.join(resolved_ids, "qid", "left_semi")
+        done = got if done is None else done.unionByName(got)
+        pending = pending.join(resolved_ids.withColumnRenamed("qid", id_col), id_col, "left_anti")
+        pending = cut_lineage(pending)
+        if last or pending.limit(1).count() == 0:
+            break
+        limit *= 2.0
+    return done
+
+
+def knn_between(queries: DataFrame, data: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
+                weight: float = 1.0, max_rounds: int = 40) -> DataFrame:
+    """Exact k nearest rows of ``data`` for every row of ``queries`` (ties by
+    id), distance sqrt(weight * sum of squares): (row_id, neighbor_id, rank,
+    distance). Heavy duplicate coordinates of ``data`` keep k representatives."""
+    q = queries.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    d = data.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    b = q.unionByName(d).agg(*[F.min(_q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
+                             *[F.max(_q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
+    if b["a0"] is None:
+        return q.limit(0).select(id_col, F.col(id_col).alias("neighbor_id"), F.lit(0).alias("rank"),
+                                 F.lit(0.0).alias("distance"))
+    diameter = math.sqrt(sum(max(float(b[f"b{i}"] - b[f"a{i}"]), 1e-12) ** 2 for i in range(len(cols))))
+    r, _, n = _initial_radius(d, cols, k)
+    w = Window.partitionBy(*cols).orderBy(id_col)
+    d = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+    done = _grid_rounds(q, d, cols, k, r, diameter, id_col, None, max_rounds, weight)
+    return done.select(F.col("qid").alias(id_col), F.col("pid").alias("neighbor_id"), F.col("rank").cast("int"),
+                       F.col("dist").alias("distance"))
+
+
+def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, id_col: str = "row_id") -> DataFrame:
+    """Fill each missing feature with the mean of that feature over the k
+    nearest rows that have it, by nan-Euclidean distance (coordinates present
+    in both rows, squared sum scaled by d / #shared); no donor with a shared
+    coordinate -> the column mean. Rows are grouped by which features they
+    have, so each (query pattern, donor pattern) pair is an ordinary exact
+    kNN in the shared coordinates (at most 2^d patterns)."""
+    cols = list(cols)
+    d = len(cols)
+    base = df.select(_q(id_col), *[_q(c).cast("double").alias(c) for c in cols])
+    pat = F.concat_ws("", *[F.when(_q(c).isNull(), "0").otherwise("1") for c in cols])
+    tagged = base.withColumn("__p", pat).persist()
+    patterns = [r["__p"] for r in tagged.select("__p").distinct().collect()]
+    means = tagged.agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
+    fills = []
+    for fi, f in enumerate(cols):
+        q_pats = [p for p in patterns if p[fi] == "0"]
+        d_pats = [p for p in patterns if p[fi] == "1"]
+        if not q_pats:
+            continue
+        cand = None
+        for qp in q_pats:
+            for dp in d_pats:
+                shared = [c for j, c in enumerate(cols) if qp[j] == "1" and dp[j] == "1"]
+                if not shared:
+                    continue
+                qs = tagged.where(F.col("__p") == qp)
+                ds = tagged.where(F.col("__p") == dp)
+                nb = knn_between(qs, ds, shared, k, id_col, weight=d / len(shared))
+                cand = nb if cand is None else cand.unionByName(nb)
+        if cand is None:
+            continue
+        w = Window.partitionBy(id_col).orderBy("distance", "neighbor_id")
+        top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        vals = tagged.select(F.col(id_col).alias("neighbor_id"), F.col(f).alias("__v"))
+        fills.append((f, top.join(vals, "neighbor_id").groupBy(id_col).agg(F.avg("__v").alias(f"__fill_{f}"))))
+    out = tagged
+    for f, fl in fills:
+        out = out.join(fl, id_col, "left")
+    exprs = []
+    for f in cols:
+        fill_col = F.col(f"__fill_{f}") if any(f == g for g, _ in fills) else F.lit(None).cast("double")
+        exprs.append(F.coalesce(_q(f), fill_col, F.lit(means[f]).cast("double")).alias(f))
+    return out.select(id_col, *exprs)
+
+
 def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
              max_rounds: int = 40) -> DataFrame:
     """Exact k nearest neighbours of every point (itself excluded; ties by
@@ -107,24 +205,7 @@ def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_
         done = same.withColumn("rank", F.row_number().over(ws)).where(F.col("rank") <= k_eff)
         data = light.unionByName(reps)
         pending = light
-    for _ in range(max_rounds):
-        last = r >= diameter
-        pairs = neighbour_pairs(data, cols, r, id_col, queries=pending).where(F.col("qid") != F.col("pid"))
-        w = Window.partitionBy("qid").orderBy("dist", "pid")
-        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
-        top = cut_lineage(top)
-        if last:
-            resolved_ids = pending.select(_q(id_col).alias("qid"))
-        else:
-            resolved_ids = (top.groupBy("qid").agg(F.count_if(F.col("dist") <= F.lit(r)).alias("m"))
-                            .where(F.col("m") >= k_eff).select("qid"))
-        got = top.join(resolved_ids, "qid", "left_semi")
-        done = got if done is None else done.unionByName(got)
-        pending = pending.join(resolved_ids.withColumnRenamed("qid", id_col), id_col, "left_anti")
-        pending = cut_lineage(pending)
-        if last or pending.limit(1).count() == 0:
-            break
-        r *= 2.0
+    done = _grid_rounds(pending, data, cols, k_eff, r, diameter, id_col, done, max_rounds)
     if done is None:
         return pts.limit(0).select(F.col(id_col), F.col(id_col).alias("neighbor_id"), F.lit(0).alias("rank"),
                                    F.lit(0.0).alias("distance"))

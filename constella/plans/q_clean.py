@@ -102,6 +102,39 @@ def c6_impute_zero(spark, sf):
     return rounded(C.impute_zero(features(spark, sf).drop("l_returnflag"), FEATS))
 
 
+_PARTS_SQL = ("SELECT p_partkey AS row_id, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END "
+              "AS p_size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS p_retailprice FROM part")
+
+
+def _parts_missing(spark, sf):
+    p = load(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("row_id"),
+                    F.when(F.col("p_partkey") % 7 == 0, None).otherwise(F.col("p_size").cast("double")).alias("p_size"),
+                    F.when(F.col("p_partkey") % 11 == 0, None).otherwise(F.col("p_retailprice")).alias("p_retailprice"))
+
+
+def _knn_fill_sql(f: str, other: str) -> str:
+    return (f"SELECT row_id, avg(v) AS fill FROM (SELECT q.row_id, d.{f} AS v, row_number() OVER (PARTITION BY "
+            f"q.row_id ORDER BY sqrt(2.0 * ((q.{other} - d.{other}) * (q.{other} - d.{other}))), d.row_id) AS rk "
+            f"FROM pm q JOIN pm d ON q.{f} IS NULL AND q.{other} IS NOT NULL AND d.{f} IS NOT NULL AND "
+            f"d.{other} IS NOT NULL) WHERE rk <= 5 GROUP BY row_id")
+
+
+@register("c5_impute_knn",
+          f"WITH pm AS ({_PARTS_SQL}), fs AS ({_knn_fill_sql('p_size', 'p_retailprice')}), "
+          f"fp AS ({_knn_fill_sql('p_retailprice', 'p_size')}) SELECT pm.row_id, "
+          f"{R('coalesce(pm.p_size, fs.fill, (SELECT avg(p_size) FROM pm))')} AS p_size, "
+          f"{R('coalesce(pm.p_retailprice, fp.fill, (SELECT avg(p_retailprice) FROM pm))')} AS p_retailprice "
+          "FROM pm LEFT JOIN fs ON fs.row_id = pm.row_id LEFT JOIN fp ON fp.row_id = pm.row_id")
+def c5_impute_knn(spark, sf):
+    """k = 5 nearest rows by nan-Euclidean distance over part size and price
+    (nulls by rule), mean of the donors' values."""
+    from constella.operators.neighbors import impute_knn
+
+    out = impute_knn(_parts_missing(spark, sf), ["p_size", "p_retailprice"], k=5)
+    return rounded(out, ["p_size", "p_retailprice"])
+
+
 # ------------------------------------------------------------------ C7, C8
 def _clip_sql() -> str:
     stats = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in FEATS)
