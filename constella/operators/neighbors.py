@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from constella.session import cut_lineage
+from constella.session import cut_lineage, stage
 
 
 def _q(c: str) -> Column:
@@ -82,13 +82,13 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
     the 3^d cells at side r; a query with k candidates within r is exact;
     the rest retry at 2r. ``weight`` scales squared distances (nan-Euclidean)."""
     limit = r
-    for _ in range(max_rounds):
+    for step in range(max_rounds):
         last = limit >= diameter
         pairs = neighbour_pairs(data, cols, limit, id_col, queries=pending, weight=weight).where(
             F.col("qid") != F.col("pid"))
         w = Window.partitionBy("qid").orderBy("dist", "pid")
         top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
-        top = cut_lineage(top)
+        top = stage(top, step)
         if last:
             resolved_ids = pending.select(_q(id_col).alias("qid"))
         else:
@@ -98,7 +98,7 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
         got = top.join(resolved_ids, "qid", "left_semi")
         done = got if done is None else done.unionByName(got)
         pending = pending.join(resolved_ids.withColumnRenamed("qid", id_col), id_col, "left_anti")
-        pending = cut_lineage(pending)
+        pending = stage(pending, step)
         if last or pending.limit(1).count() == 0:
             break
         limit *= 2.0
@@ -196,7 +196,7 @@ def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_
         heavy = tagged.where(F.col("__heavy")).select(id_col, *cols)
         w = Window.partitionBy(*cols).orderBy(id_col)
         reps = heavy.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k_eff + 1).drop("__r")
-        reps = cut_lineage(reps)
+        reps = reps.persist()
         q, p = heavy.alias("q"), reps.alias("p")
         same = q.join(p, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in cols]).where(
             F.col(f"q.{id_col}") != F.col(f"p.{id_col}")).select(
@@ -220,7 +220,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
     treated as undirected. Min-label propagation: each round is one join and
     one grouped min; stops when no label changes (a distributed count)."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = cut_lineage(e.distinct())
+    e = cut_lineage(e.distinct())  # truncates the plan the loop re-analyses
     labels = vertices.select(F.col("id"), F.col("id").alias("label"))
     for i in range(max_iter):
         prop = e.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
@@ -228,7 +228,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
         new = labels.join(prop, "id", "left").select(
             "id", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label"),
             (F.coalesce(F.col("cand"), F.col("label")) < F.col("label")).alias("changed"))
-        new = cut_lineage(new) if (i % checkpoint_every == checkpoint_every - 1) else new.persist()
+        new = stage(new, i, checkpoint_every)
         changed = new.where("changed").limit(1).count()
         labels = new.select("id", "label")
         if changed == 0:
@@ -251,7 +251,7 @@ def dbscan(points: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples
     pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
     coords = pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("cid"),
                                                       F.count(F.lit(1)).alias("m"))
-    coords = cut_lineage(coords)
+    coords = coords.persist()
     pairs = neighbour_pairs(coords, cols, eps, "cid").where(F.col("dist") <= F.lit(eps))
     pairs = cut_lineage(pairs)
     weight = coords.select(F.col("cid").alias("pid"), "m")

@@ -87,6 +87,15 @@ def ensure_parallelism(df, minimum: int | None = None):
     return df
 
 
+def stage(df, step: int, every: int = 3):
+    """Materialise one step of an iterative job: cached (recomputable from a
+    short lineage if an executor is lost), and every ``every`` steps written
+    as a reliable checkpoint so the lineage never grows with the iterations."""
+    if step % every == every - 1:
+        return cut_lineage(df)
+    return df.persist()
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
