@@ -22,6 +22,22 @@ def d7_landmark_mds(spark, sf):
     return coords
 
 
+@register("d4_tsne")
+def d4_tsne(spark, sf):
+    """Rows-only: t-SNE layout (perplexity 30, 20 batch iterations)."""
+    from constella.operators.layout import tsne
+
+    return tsne(points3d(spark, sf), XYZ, perplexity=30.0, iters=20)
+
+
+@register("d5_umap")
+def d5_umap(spark, sf):
+    """Rows-only: UMAP layout (15 neighbours, min_dist 0.1, 20 iterations)."""
+    from constella.operators.layout import umap
+
+    return umap(points3d(spark, sf), XYZ, n_neighbors=15, min_dist=0.1, iters=20)
+
+
 @register("a3_one_class_svm")
 def a3_one_class_svm(spark, sf):
     flagged, _ = EM.one_class_svm(points3d(spark, sf), XYZ, nu=0.1, iters=40)

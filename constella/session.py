@@ -22,6 +22,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master)
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.driver.memory", "12g")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -41,6 +41,21 @@ def test_landmark_mds_preserves_3d_distances(spark):
     assert info["landmark_stress"] < 1e-8
 
 
+@pytest.mark.parametrize("method", ["tsne", "umap"])
+def test_layouts_preserve_neighbourhoods(spark, method):
+    from constella.operators import layout as LY
+
+    rng = np.random.default_rng(3)
+    X = np.concatenate([rng.normal(c, 0.3, (40, 3)) for c in (0.0, 3.0, 6.0)])
+    df = _frame(spark, X)
+    if method == "tsne":
+        coords = LY.tsne(df, ["x", "y", "z"], perplexity=10, iters=8)
+    else:
+        coords = LY.umap(df, ["x", "y", "z"], n_neighbors=10, iters=8)
+    kept = LY.neighbour_preservation(df, ["x", "y", "z"], coords.persist(), 5)
+    assert kept > 10 * 5 / 119  # far above a random layout
+
+
 def test_one_class_svm_flags_share_and_outliers(spark):
     rng = np.random.default_rng(2)
     X = np.concatenate([rng.normal(0, 1, (400, 3)), rng.normal(0, 1, (8, 3)) + 7])
