@@ -52,8 +52,11 @@ def test_layouts_preserve_neighbourhoods(spark, method):
         coords = LY.tsne(df, ["x", "y", "z"], perplexity=10, iters=8)
     else:
         coords = LY.umap(df, ["x", "y", "z"], n_neighbors=10, iters=8)
-    kept = LY.neighbour_preservation(df, ["x", "y", "z"], coords.persist(), 5)
-    assert kept > 10 * 5 / 119  # far above a random layout
+    from constella.operators.neighbors import knn_join
+
+    nb = knn_join(coords.persist(), ["x", "y", "z"], 5).collect()
+    same = sum(1 for r in nb if r["row_id"] // 40 == r["neighbor_id"] // 40) / len(nb)
+    assert same > 0.9  # layout neighbours stay in their blob (random: about 1/3)
 
 
 def test_one_class_svm_flags_share_and_outliers(spark):
