@@ -99,28 +99,37 @@ def affinity_graph(points: DataFrame, cols: Sequence[str], k: int, mode: str, ta
     return g.select("i", "j", (a + b - a * b).alias("w"))
 
 
-def _grid_summary(coords: DataFrame, cells: int) -> np.ndarray:
+def _grid_summary(coords: DataFrame, cells: int):
+    """(rows [count, centroid x y z, cell i j k], lower corner, cell size,
+    cells): at most cells^3 rows reach the driver."""
     b = coords.agg(*[F.min(a).alias(f"a{a}") for a in AX], *[F.max(a).alias(f"b{a}") for a in AX]).first()
-    key = [F.least(F.floor((F.col(a) - F.lit(b[f"a{a}"])) / F.lit(max(b[f"b{a}"] - b[f"a{a}"], 1e-12) / cells)),
-                   F.lit(cells - 1)).alias(f"c{a}") for a in AX]
+    lo = np.array([b[f"a{a}"] for a in AX], dtype=float)
+    size = np.array([max(b[f"b{a}"] - b[f"a{a}"], 1e-12) / cells for a in AX])
+    key = [F.least(F.greatest(F.floor((F.col(a) - F.lit(float(lo[i]))) / F.lit(float(size[i]))), F.lit(0)),
+                   F.lit(cells - 1)).alias(f"c{a}") for i, a in enumerate(AX)]
     rows = coords.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(a) for a in AX]).collect()
-    return np.array([[r["n"], r["x"], r["y"], r["z"]] for r in rows], dtype=float)
+    S = np.array([[r["n"], r["x"], r["y"], r["z"], r["cx"], r["cy"], r["cz"]] for r in rows], dtype=float)
+    return S, lo, size, cells
 
 
-def _repulsion_udf(spark, summary: np.ndarray, mode: str, z_norm: float, a: float, b: float):
+def _repulsion_udf(spark, summary, mode: str, z_norm: float, a: float, b: float):
+    """Far-field repulsion from the cell summaries; the row's own cell is
+    left out (its near field comes exactly from the kNN edges)."""
     bc = spark.sparkContext.broadcast(summary)
 
     @F.pandas_udf("x double, y double, z double, zsum double")
     def rep(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
-        S = bc.value
+        S, lo, size, cells = bc.value
         Y = np.column_stack([x.to_numpy(), y.to_numpy(), z.to_numpy()])
-        diff = Y[:, None, :] - S[None, :, 1:]
+        own = np.clip(np.floor((Y - lo) / size), 0, cells - 1)
+        same = (own[:, None, :] == S[None, :, 4:7]).all(-1)
+        diff = Y[:, None, :] - S[None, :, 1:4]
         d2 = (diff ** 2).sum(-1)
-        cnt = S[None, :, 0]
+        cnt = np.where(same, 0.0, S[None, :, 0])
         if mode == "tsne":
             w = 1.0 / (1.0 + d2)
             force = 4.0 * ((cnt * w * w)[:, :, None] * diff).sum(1) / max(z_norm, 1e-12)
-            zs = (cnt * w).sum(1) - 1.0  # minus the row itself
+            zs = (cnt * w).sum(1)
         else:
             coef = 2.0 * b / ((0.001 + d2) * (1.0 + a * d2 ** b))
             force = np.clip((cnt * coef)[:, :, None] * diff, -4, 4).sum(1) / max(cnt.sum(), 1.0)
@@ -137,13 +146,19 @@ def _attraction(edges: DataFrame, coords: DataFrame, mode: str, a: float, b: flo
     diff = [F.col(f"i{c}") - F.col(f"j{c}") for c in AX]
     d2 = sum([t * t for t in diff[1:]], diff[0] * diff[0])
     if mode == "tsne":
-        coef = F.lit(4.0) * F.col("w") / (F.lit(1.0) + d2)
-    else:
-        coef = F.lit(2.0 * a * b) * F.pow(d2, b - 1) / (F.lit(1.0) + F.lit(a) * F.pow(d2, b)) * F.col("w")
-        coef = F.when(d2 > 0, coef).otherwise(F.lit(0.0))
+        wq = F.lit(1.0) / (F.lit(1.0) + d2)
+        coef = F.lit(4.0) * F.col("w") * wq
+        # near-field repulsion along the kNN edges: sum w^2 (y_i - y_j), and
+        # the edges' share of the normaliser Z
+        return e.groupBy(F.col("i").alias("row_id")).agg(
+            *[F.sum(coef * dv).alias(f"g{c}") for c, dv in zip(AX, diff)],
+            *[F.sum(wq * wq * dv).alias(f"n{c}") for c, dv in zip(AX, diff)],
+            F.sum(wq).alias("z_near"))
+    coef = F.lit(2.0 * a * b) * F.pow(d2, b - 1) / (F.lit(1.0) + F.lit(a) * F.pow(d2, b)) * F.col("w")
+    coef = F.when(d2 > 0, coef).otherwise(F.lit(0.0))
     return e.groupBy(F.col("i").alias("row_id")).agg(
-        *[F.sum(F.least(F.greatest(coef * dv, F.lit(-4.0)), F.lit(4.0)) if mode == "umap" else coef * dv)
-          .alias(f"g{c}") for c, dv in zip(AX, diff)])
+        *[F.sum(F.least(F.greatest(coef * dv, F.lit(-4.0)), F.lit(4.0))).alias(f"g{c}") for c, dv in zip(AX, diff)],
+        *[F.lit(0.0).alias(f"n{c}") for c in AX], F.lit(0.0).alias("z_near"))
 
 
 def _layout(points: DataFrame, edges: DataFrame, init: DataFrame, mode: str, iters: int, lr: float,
@@ -152,9 +167,11 @@ def _layout(points: DataFrame, edges: DataFrame, init: DataFrame, mode: str, ite
     coords = stage(init.select("row_id", *AX), 0)
     edges = edges.persist()
     z_norm = 1.0
-    if mode == "tsne":  # the normaliser Z of the starting layout
+    if mode == "tsne":  # the normaliser Z of the starting layout (far + near field)
         rep0 = _repulsion_udf(spark, _grid_summary(coords, cells), mode, 1.0, a, b)
-        z_norm = float(coords.select(rep0("x", "y", "z").alias("r")).agg(F.sum("r.zsum")).first()[0] or 1.0)
+        far = coords.select(rep0("x", "y", "z").alias("r")).agg(F.sum("r.zsum")).first()[0] or 0.0
+        near = _attraction(edges, coords, mode, a, b).agg(F.sum("z_near")).first()[0] or 0.0
+        z_norm = float(far + near) or 1.0
     for it in range(iters):
         summary = _grid_summary(coords, cells)
         rep = _repulsion_udf(spark, summary, mode, z_norm, a, b)
@@ -163,9 +180,11 @@ def _layout(points: DataFrame, edges: DataFrame, init: DataFrame, mode: str, ite
         r = coords.select("row_id", *AX, rep("x", "y", "z").alias("r"))
         j = r.join(att, "row_id", "left")
         step = lr if mode == "tsne" else lr * (1.0 - it / max(iters, 1))
+        near_scale = 4.0 / max(z_norm, 1e-12)
         new = j.select("row_id", *[(F.col(c) + F.lit(step) * (
-            (F.lit(-ex) * F.coalesce(F.col(f"g{c}"), F.lit(0.0))) + F.col(f"r.{c}"))).alias(c) for c in AX],
-            F.col("r.zsum").alias("zsum"))
+            (F.lit(-ex) * F.coalesce(F.col(f"g{c}"), F.lit(0.0))) + F.col(f"r.{c}")
+            + F.lit(near_scale) * F.coalesce(F.col(f"n{c}"), F.lit(0.0)))).alias(c) for c in AX],
+            (F.col("r.zsum") + F.coalesce(F.col("z_near"), F.lit(0.0))).alias("zsum"))
         new = stage(new, it, 2)  # a checkpoint every second step keeps plans short
         if mode == "tsne":
             z_norm = float(new.agg(F.sum("zsum")).first()[0] or 1.0)
@@ -187,6 +206,10 @@ def tsne(points: DataFrame, cols: Sequence[str], perplexity: float = 30.0, iters
     s = float(np.sqrt(model.variances[0])) if len(model.variances) else 1.0
     init = init.select("row_id", *[(F.col(c) / F.lit(s if s > 0 else 1.0) * F.lit(1e-4 * 1e4)).alias(c) for c in AX])
     lr = learning_rate or max(n / 12.0 / 4.0, 50.0)
+    # plain batch steps (no momentum / gains): the attraction on a row is
+    # about 4 x exaggeration / n times its distances, so keep one step below
+    # half of that distance or small inputs oscillate
+    lr = min(lr, n / (4.0 * 12.0) * 0.5)
     return _layout(pts, edges, init, "tsne", iters, lr)
 
 
