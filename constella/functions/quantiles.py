@@ -64,6 +64,15 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Iterable[float],
     return out
 
 
+def order_statistic(df: DataFrame, col: str, rank: int) -> float | None:
+    """The rank-th smallest non-null value (0-based), exactly."""
+    src = df.select(F.when(F.isnan(_col(col)), None).otherwise(_col(col)).alias(col))
+    n = src.agg(F.count(F.col(f"`{col}`"))).first()[0]
+    if not n or rank >= n or rank < 0:
+        return None
+    return _order_statistics(src, [(col, rank)], {col: n})[(col, rank)]
+
+
 def _order_statistics(src: DataFrame, wanted, counts) -> dict[tuple[str, int], float]:
     """k-th smallest values (0-based ranks) by iterative histogram narrowing."""
     if not wanted:

@@ -225,10 +225,18 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
     for i in range(max_iter):
         prop = e.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(
             F.min("label").alias("cand"))
-        new = labels.join(prop, "id", "left").select(
-            "id", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("label"),
-            (F.coalesce(F.col("cand"), F.col("label")) < F.col("label")).alias("changed"))
-        new = stage(new, i, checkpoint_every)
+        hop = labels.join(prop, "id", "left").select(
+            "id", "label", F.least(F.col("label"), F.coalesce(F.col("cand"), F.col("label"))).alias("l1"))
+        # pointer jumping: a label is a vertex of the same component, so that
+        # vertex's (previous) label is a valid label too; reach doubles
+        prev = labels.select(F.col("id").alias("jid"), F.col("label").alias("l2"))
+        jump = hop.join(prev, hop["l1"] == prev["jid"], "left")
+        new = jump.select("id", F.least(F.col("l1"), F.coalesce(F.col("l2"), F.col("l1"))).alias("label"),
+                          (F.least(F.col("l1"), F.coalesce(F.col("l2"), F.col("l1"))) < F.col("label"))
+                          .alias("changed"))
+        # a reliable checkpoint per round: truncates the plan (no growing
+        # analysis) and survives executor loss
+        new = cut_lineage(new)
         changed = new.where("changed").limit(1).count()
         labels = new.select("id", "label")
         if changed == 0:
@@ -248,12 +256,69 @@ def dbscan(points: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples
     and a coordinate holding a third of all rows is one vertex, not a third
     of all rows squared in pairs. Rows get their coordinate's label back by an
     equi-join (AQE splits a hot key)."""
+    pts, coords = _distinct_coords(points, cols, id_col)
+    pairs = cut_lineage(neighbour_pairs(coords, cols, eps, "cid").where(F.col("dist") <= F.lit(eps)))
+    return _dbscan_labels(pts, coords, pairs, cols, min_samples, id_col)
+
+
+def _distinct_coords(points: DataFrame, cols: Sequence[str], id_col: str):
     pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
     coords = pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("cid"),
                                                       F.count(F.lit(1)).alias("m"))
-    coords = coords.persist()
-    pairs = neighbour_pairs(coords, cols, eps, "cid").where(F.col("dist") <= F.lit(eps))
-    pairs = cut_lineage(pairs)
+    return pts, coords.persist()
+
+
+def dbscan_auto(points: DataFrame, cols: Sequence[str], min_samples_grid: Sequence[int] = (3, 5, 7, 10),
+                factors: Sequence[float] = (0.5, 0.75, 1.0, 1.25, 1.5), id_col: str = "row_id"):
+    """K5: eps candidates = the k-distance order statistic at 95 % (k = 5
+    counting the point itself) times each factor; every (eps, min_samples)
+    with at least two clusters is scored silhouette x (1 - noise share)
+    (squared-distance silhouette on non-noise rows). The neighbour pairs are
+    joined once at the largest eps and filtered for the others. Returns the
+    best (eps, min_samples), its labels and the score table."""
+    from constella.operators.metrics import silhouette_sq
+
+    pts, coords = _distinct_coords(points, cols, id_col)
+    n = pts.count()
+    base = eps_base(pts, cols, id_col)
+    grid = [(base * f, m) for f in factors for m in min_samples_grid if m < n]
+    top = max(e for e, _ in grid)
+    all_pairs = cut_lineage(neighbour_pairs(coords, cols, top, "cid").where(F.col("dist") <= F.lit(top)))
+    rows, best = [], None
+    for eps, m in grid:
+        pairs = all_pairs.where(F.col("dist") <= F.lit(eps))
+        lab = _dbscan_labels(pts, coords, pairs, cols, m, id_col).persist()
+        st = lab.agg(F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("k"),
+                     F.avg((F.col("cluster") == -1).cast("double")).alias("noise")).first()
+        score = None
+        if st["k"] >= 2:
+            sil = silhouette_sq(pts.join(lab.select(id_col, "cluster"), id_col), cols).first()[0]
+            score = None if sil is None else float(sil) * (1.0 - st["noise"])
+        rows.append((float(eps), int(m), int(st["k"]), float(st["noise"]), score))
+        if score is not None and (best is None or score > best[0]):
+            best = (score, eps, m, lab)
+    table = points.sparkSession.createDataFrame(
+        rows, "eps double, min_samples int, n_clusters int, noise_ratio double, score double")
+    return best, table
+
+
+def eps_base(points: DataFrame, cols: Sequence[str], id_col: str = "row_id", k: int = 5,
+             share: float = 0.95) -> float | None:
+    """The k-distance (k counting the point itself, i.e. the (k-1)-th other
+    neighbour) at sorted position floor(share x n)."""
+    from constella.functions.quantiles import order_statistic
+
+    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
+    n = pts.count()
+    kk = min(k, n - 1)
+    if kk <= 1:
+        return 0.0
+    kd = knn_join(pts, cols, kk - 1, id_col).groupBy(id_col).agg(F.max("distance").alias("kd"))
+    return order_statistic(kd, "kd", int(n * share))
+
+
+def _dbscan_labels(pts: DataFrame, coords: DataFrame, pairs: DataFrame, cols: Sequence[str], min_samples: int,
+                   id_col: str) -> DataFrame:
     weight = coords.select(F.col("cid").alias("pid"), "m")
     counts = pairs.join(weight, "pid").groupBy("qid").agg(F.sum("m").alias("n"))  # includes the point itself
     core = counts.where(F.col("n") >= min_samples).select(F.col("qid").alias("id"))

@@ -13,7 +13,8 @@ from constella.plans.registry import register
 from constella.tables import points3d, with_fixtures
 
 XYZ = ["x", "y", "z"]
-EPS, MIN_SAMPLES, K_LOF = 0.35, 5, 20
+# eps on the scale of the cloud (coordinate std ~0.125; the K5 base is ~0.08-0.11)
+EPS, MIN_SAMPLES, K_LOF = 0.08, 5, 20
 
 _PAIRS = ("pairs AS (SELECT a.row_id, b.row_id AS neighbor_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * "
           "(a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance FROM points3d a, points3d b "
@@ -51,18 +52,28 @@ def k4_dbscan(spark, sf):
 
 
 @register("k5_eps_candidates", with_fixtures(
-    f"WITH {_knn_sql(MIN_SAMPLES)}, kd AS (SELECT row_id, max(distance) AS kd FROM knn GROUP BY row_id), "
-    "q AS (SELECT quantile_cont(kd, 0.95) AS base FROM kd), m AS (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5]) AS "
+    f"WITH {_knn_sql(4)}, kd AS (SELECT row_id, max(distance) AS kd FROM knn GROUP BY row_id), "
+    "q AS (SELECT kd AS base FROM kd ORDER BY kd LIMIT 1 OFFSET (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) "
+    "FROM points3d)), m AS (SELECT unnest([0.5, 0.75, 1.0, 1.25, 1.5]) AS "
     f"factor) SELECT CAST(factor AS DOUBLE) AS factor, {R('base * factor')} AS eps FROM q, m", "points3d"))
 def k5_eps_candidates(spark, sf):
-    """K5's deterministic part: eps candidates from the 95th percentile of the
-    k-distance (k = min_samples)."""
-    kd = N.k_distance(points3d(spark, sf), XYZ, MIN_SAMPLES)
-    base = exact_quantiles(kd, ["k_distance"], [0.95])[("k_distance", 0.95)]
+    """K5's deterministic part: eps candidates from the k-distance (k = 5
+    counting the point itself) at sorted position floor(0.95 n)."""
+    base = N.eps_base(points3d(spark, sf), XYZ)
     rows = [(f, base * f) for f in (0.5, 0.75, 1.0, 1.25, 1.5)]
     return spark.createDataFrame(rows, "factor double, eps double").select("factor", round_to("eps").alias("eps"))
 
 
+@register("k5_dbscan_auto")
+def k5_dbscan_auto(spark, sf):
+    """Rows-only: the (eps, min_samples) score table of the automatic DBSCAN
+    search and which candidate won."""
+    best, table = N.dbscan_auto(points3d(spark, sf), XYZ)
+    if best is None:
+        return table.withColumn("chosen", F.lit(False))
+    return table.withColumn("chosen", (F.col("eps") == F.lit(float(best[1]))) & (F.col("min_samples") == best[2]))
+
+
 @register("a4_lof", with_fixtures(
     f"WITH {_knn_sql(K_LOF)}, kd AS (SELECT row_id AS o, max(distance) AS kdist FROM knn GROUP BY row_id), "
     "reach AS (SELECT k.row_id AS p, greatest(k.distance, kd.kdist) AS reach FROM knn k JOIN kd ON kd.o = "

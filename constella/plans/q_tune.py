@@ -51,13 +51,14 @@ def k6_mutual_reachability(spark, sf):
 
 @register("k7_single_linkage", with_fixtures(
     "WITH RECURSIVE e AS (SELECT a.row_id AS src, b.row_id AS dst FROM points3d a, points3d b WHERE a.row_id <> "
-    "b.row_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.25), "
+    "b.row_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.05), "
     "cc(id, comp) AS (SELECT row_id, row_id FROM points3d UNION SELECT e.dst, cc.comp FROM cc JOIN e ON e.src = "
     "cc.id), comp AS (SELECT id, min(comp) AS comp FROM cc GROUP BY id) SELECT id AS row_id, CAST(dense_rank() "
     "OVER (ORDER BY comp) - 1 AS INTEGER) AS cluster FROM comp", "points3d"))
 def k7_single_linkage(spark, sf):
-    """Single linkage cut at distance 0.25 (the threshold variant)."""
-    return H.single_linkage_threshold(points3d(spark, sf), XYZ, 0.25)
+    """Single linkage cut at distance 0.05 (the threshold variant; the
+    cloud's coordinate std is ~0.125)."""
+    return H.single_linkage_threshold(points3d(spark, sf), XYZ, 0.05)
 
 
 @register("k7_agglomerative")

@@ -8,6 +8,7 @@ computes the same columns under the same names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -18,7 +19,16 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            # intermediates cached by the previous query are not reused;
+            # dropping them keeps plan analysis from slowing down as cache
+            # entries pile up in a long-lived session
+            spark.catalog.clearCache()
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
