@@ -28,9 +28,21 @@ def _col(c: str):
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Iterable[float],
                     counts: dict | None = None) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value}; nulls and NaN are ignored; empty → None."""
+    from constella.session import ensure_parallelism
+
     probs = list(probs)
     cols = list(cols)
     src = df.select(*[F.when(F.isnan(_col(c)), None).otherwise(_col(c)).alias(c) for c in cols])
+    # a few passes read the same d columns: cache them (spread over the
+    # cluster when the input came in too few splits), release at the end
+    src = ensure_parallelism(src).persist()
+    try:
+        return _exact_quantiles(src, cols, probs, counts)
+    finally:
+        src.unpersist()
+
+
+def _exact_quantiles(src: DataFrame, cols, probs, counts):
     if counts is None:
         row = src.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).first()
         counts = {c: row[c] for c in cols}
