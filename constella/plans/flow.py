@@ -101,17 +101,55 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
     # the scaled features are read by every fit below: cache them, spread
     # over the cluster when the input arrived in too few splits
     feats = ensure_parallelism(feats).persist()
-    pca = D.fit_pca(feats, cols, 3)
-    coords = pca.transform(feats, keep=[id_col, *cols])
+    xyz = ["x", "y", "z"]
+    pca = None
+    opts = dict(cfg.extra)
+    if cfg.reduction == "pca":
+        pca = D.fit_pca(feats, cols, 3, whiten=bool(opts.get("whiten", False)))
+        coords = pca.transform(feats, keep=[id_col, *cols])
+    else:
+        from constella.operators import embed as EM
+        from constella.operators import layout as LY
+
+        if cfg.reduction == "tsne":
+            emb = LY.tsne(feats, cols, opts.get("perplexity", 30.0), iters=opts.get("iterations", 20), id_col=id_col)
+        elif cfg.reduction == "umap":
+            emb = LY.umap(feats, cols, opts.get("n_neighbors", 15), opts.get("min_dist", 0.1),
+                          iters=opts.get("iterations", 20), id_col=id_col)
+        elif cfg.reduction == "kernel_pca":
+            emb, _ = EM.kernel_pca(feats, cols, 3, m=opts.get("landmarks", 100), id_col=id_col)
+        elif cfg.reduction == "mds":
+            emb, _ = EM.landmark_mds(feats, cols, 3, m=opts.get("landmarks", 200), id_col=id_col)
+        else:
+            raise ValueError(f"unsupported reduction method {cfg.reduction!r}")
+        # the layout is keyed by row id: one equi-join brings the features back
+        keep = feats.drop(*[c for c in xyz if c in feats.columns and c != id_col])
+        coords = keep.join(emb.withColumnRenamed("row_id", id_col) if id_col != "row_id" else emb, id_col)
+        coords = coords.persist()
     centres = None
     if cfg.clustering == "kmeans":
         k = cfg.n_clusters
-        # the coordinates' variances are the PCA eigenvalues: no extra pass
-        centres = K.kmeans(coords, ["x", "y", "z"], k=k, n_init=cfg.kmeans_n_init, seed=cfg.random_state,
-                           mean_variance=float(pca.variances.mean()) if len(pca.variances) else None)
+        # with PCA the coordinates' variances are its eigenvalues: no extra pass
+        mv = float(pca.variances.mean()) if pca is not None and len(pca.variances) else None
+        centres = K.kmeans(coords, xyz, k=k, n_init=cfg.kmeans_n_init, seed=cfg.random_state, mean_variance=mv)
         coords = centres.assign(coords, "cluster")
+    elif cfg.clustering in ("dbscan", "agglomerative", "gaussian_mixture", "hdbscan"):
+        from constella.operators import hierarchy as H
+        from constella.operators import mixture as MX
+        from constella.operators import neighbors as N
+
+        if cfg.clustering == "dbscan":
+            lab = N.dbscan(coords, xyz, opts.get("eps", 0.5), opts.get("min_samples", 5), id_col)
+        elif cfg.clustering == "agglomerative":
+            lab = H.agglomerative(coords, xyz, cfg.n_clusters, opts.get("linkage", "ward"), id_col=id_col)
+        elif cfg.clustering == "gaussian_mixture":
+            mix = MX.gaussian_mixture(coords, xyz, cfg.n_clusters, opts.get("covariance", "auto"))
+            lab = mix.e_step(coords.select(id_col, *xyz)).select(id_col, "cluster")
+        else:
+            raise ValueError("hdbscan: only core distances and mutual reachability are available (K6)")
+        coords = coords.join(lab.select(id_col, "cluster"), id_col)
     else:
-        raise ValueError(f"run_analysis supports kmeans; use the cluster operators for {cfg.clustering}")
+        raise ValueError(f"unsupported clustering method {cfg.clustering!r}")
     threshold = None
     if cfg.detect_anomalies:
         forest = A.fit_isolation_forest(feats, cols, cfg.n_trees, 256, cfg.random_state, id_col)

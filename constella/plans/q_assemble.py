@@ -86,6 +86,19 @@ def r6_run_analysis(spark, sf):
     return res.points.select("row_id", "x", "y", "z", "cluster", "score", "is_anomaly", "color", "size")
 
 
+@register("r6_run_analysis_umap_dbscan")
+def r6_run_analysis_umap_dbscan(spark, sf):
+    """Rows-only: the whole flow with UMAP and DBSCAN on the 3-D cloud of
+    the embeddings table (median imputation, robust scaling)."""
+    from constella.plans.flow import AnalysisConfig, run_analysis
+    from constella.tables import points3d
+
+    cfg = AnalysisConfig(reduction="umap", clustering="dbscan", missing="median", scaling="robust",
+                         extra={"n_neighbors": 15, "iterations": 10, "eps": 0.5, "min_samples": 5})
+    res = run_analysis(points3d(spark, sf), ["x", "y", "z"], cfg)
+    return res.points.select("row_id", "x", "y", "z", "cluster", "score", "is_anomaly", "color")
+
+
 # ---------------------------------------------------------------- X1-X7
 def _x1_sql() -> str:
     num = " UNION ALL ".join(f"SELECT cluster, {i} AS pos, '{c}' AS feature, {c} AS v FROM src" for i, c in
