@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
-from constella.functions.numeric import round_to
 from constella.operators import assemble as X
 from constella.operators import clean as C
 from constella.plans.registry import register

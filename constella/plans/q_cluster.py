@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
@@ -120,5 +119,3 @@ def k13_davies_bouldin(spark, sf):
     return M.davies_bouldin(labelled_points(spark, sf), XYZ).select(
         round_to("davies_bouldin").alias("davies_bouldin"))
 
-
-__all__ = ["np"]

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
 from constella.functions.numeric import round_to
-from constella.functions.quantiles import exact_quantiles
 from constella.operators import anomaly as A
 from constella.operators import neighbors as N
 from constella.plans.registry import register
@@ -86,5 +85,3 @@ def a4_lof(spark, sf):
     flagged, _ = A.threshold_flags(scored, 0.1)
     return flagged.select("row_id", round_to("score").alias("score"), "is_anomaly")
 
-
-__all__ = ["F"]

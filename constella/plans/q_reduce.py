@@ -5,8 +5,6 @@ covariance (x, y of the 3-D cloud): same centring, same sign rule."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
 from constella.functions.numeric import round_sig, round_to
@@ -112,5 +110,3 @@ def d1_pca_lineitem(spark, sf):
     coords, _ = D.pca(df, FEATS, 3)
     return coords
 
-
-__all__ = ["np", "F"]

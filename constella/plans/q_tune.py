@@ -3,8 +3,6 @@ O1-O8)."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
@@ -211,5 +209,3 @@ def o7_confidence(spark, sf):
 def o8_recommend(spark, sf):
     return O.recommend(features(spark, sf), FEATS, "clustering")
 
-
-__all__ = ["json"]
