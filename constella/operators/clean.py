@@ -241,6 +241,24 @@ def fit_standard(df: DataFrame, cols: Sequence[str]) -> Fitted:
                   {c: (r[f"s{i}"] or 0.0) for i, c in enumerate(cols)})
 
 
+def fit_mean_standard(df: DataFrame, cols: Sequence[str]) -> Fitted:
+    """Mean imputation followed by standard scaling, fitted in one pass:
+    after filling with the mean, the mean is unchanged and the population
+    variance is the observed one times n_observed / n."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(_q(c)).alias(f"k{i}") for i, c in enumerate(cols)],
+               *[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+               *[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    n = r["n"] or 0
+    fill, shift, scale_ = {}, {}, {}
+    for i, c in enumerate(cols):
+        m, k, v = r[f"m{i}"], r[f"k{i}"], r[f"v{i}"]
+        fill[c] = m
+        shift[c] = m if m is not None else 0.0
+        var = (v or 0.0) * k / n if n else 0.0
+        scale_[c] = math.sqrt(var) if var > 0 else 0.0
+    return Fitted("standard", shift, scale_, fill=fill)
+
+
 def fit_minmax(df: DataFrame, cols: Sequence[str]) -> Fitted:
     """(x - min) / (max - min); a constant column maps to 0."""
     r = df.agg(*[F.min(_q(c)).alias(f"a{i}") for i, c in enumerate(cols)],

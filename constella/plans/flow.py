@@ -62,6 +62,11 @@ def preprocess(df: DataFrame, cols: Sequence[str], missing: str = "mean", outlie
         steps.append(f"Sampled up to {max_samples} rows")
     df = C.select_features(df, cols, keep=(id_col,))
     steps.append(f"Selected {len(cols)} features")
+    if missing == "mean" and outliers is None and scaling == "standard":
+        # both fits from one aggregate; one projection fills and scales
+        df = C.fit_mean_standard(df, cols).transform(df)
+        steps += [f"Handled missing values ({missing})", f"Applied {scaling} scaling"]
+        return df, steps
     df = C.impute(df, cols, missing)
     steps.append(f"Handled missing values ({missing})")
     if outliers == "iqr":

@@ -172,6 +172,18 @@ def test_scalers_edge_frames(spark):
     assert C.filter_zscore(df, ["a", "const"], 3.0).count() == 3
 
 
+def test_fused_mean_standard_equals_two_steps(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(3, 2, (300, 2))
+    X[rng.random(300) < 0.2, 0] = np.nan
+    df = _frame(spark, X, ["a", "b"])
+    two = C.fit_standard(C.impute_mean(df, ["a", "b"]), ["a", "b"]).transform(C.impute_mean(df, ["a", "b"]))
+    one = C.fit_mean_standard(df, ["a", "b"]).transform(df)
+    a = {r["row_id"]: (r["a"], r["b"]) for r in two.collect()}
+    b = {r["row_id"]: (r["a"], r["b"]) for r in one.collect()}
+    assert all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+
+
 def test_silhouette_sq_matches_brute_force(spark):
     rng = np.random.default_rng(7)
     X = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(4, 1, (20, 2)), rng.normal(-4, 1, (1, 2))])
