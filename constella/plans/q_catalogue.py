@@ -216,7 +216,7 @@ def f10_visible_clusters(spark, sf):
 # ------------------------------------------------------------------ P10
 @register("p10_catalogue_stats", with_fixtures(
     "SELECT count(*) AS total_datasets, count(*) FILTER (WHERE is_public) AS public_datasets, count(*) FILTER "
-    "(WHERE status = 'processed') AS processed_datasets, sum(size_bytes) AS total_size_bytes, "
+    "(WHERE status = 'processed') AS processed_datasets, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, "
     f"{R('avg(row_count)')} AS mean_rows, {R('count(*) FILTER (WHERE status = ' + chr(39) + 'processed' + chr(39) + ') / nullif(count(*) FILTER (WHERE status IN (' + chr(39) + 'processed' + chr(39) + ', ' + chr(39) + 'error' + chr(39) + ')), 0)')} AS success_rate "
     "FROM datasets", "datasets"))
 def p10_catalogue_stats(spark, sf):

@@ -74,8 +74,8 @@ def g3_cull(spark, sf):
     return G.cull(G.project(_pts(spark, sf), CAM, VP), CAM, VP).select("point_id")
 
 
-@register("g4_lod", _base("SELECT point_id, CASE WHEN cam_d < 100 THEN 1.0 WHEN cam_d < 300 THEN 0.5 ELSE 0.25 END "
-                          f"AS lod_level, {R('greatest(0.1, 1.0 - least(cam_d / 12.0, 1.0) * 0.9)')} AS lod_smooth "
+@register("g4_lod", _base("SELECT point_id, CAST(CASE WHEN cam_d < 100 THEN 1.0 WHEN cam_d < 300 THEN 0.5 ELSE 0.25 "
+                          f"END AS DOUBLE) AS lod_level, {R('greatest(0.1, 1.0 - least(cam_d / 12.0, 1.0) * 0.9)')} AS lod_smooth "
                           "FROM proj"))
 def g4_lod(spark, sf):
     cam_near = G.Camera(CAM.position, CAM.rotation, CAM.zoom)
@@ -141,8 +141,9 @@ def g9_selection_info(spark, sf):
 
 @register("g10_legend_stats", with_fixtures(
     _POINTS_SQL + " SELECT cluster, count(*) AS point_count, count(*) FILTER (WHERE is_anomaly) AS anomaly_count, "
-    "sum(count(*)) OVER () AS total_points, sum(count(*) FILTER (WHERE is_anomaly)) OVER () AS total_anomalies, "
-    "sum(count(*) FILTER (WHERE cluster IS NOT NULL AND cluster <> -1)) OVER () AS clustered_points FROM dec "
+    "CAST(sum(count(*)) OVER () AS BIGINT) AS total_points, CAST(sum(count(*) FILTER (WHERE is_anomaly)) OVER () "
+    "AS BIGINT) AS total_anomalies, CAST(sum(count(*) FILTER (WHERE cluster IS NOT NULL AND cluster <> -1)) OVER () "
+    "AS BIGINT) AS clustered_points FROM dec "
     "GROUP BY cluster", "labelled_points"))
 def g10_legend_stats(spark, sf):
     per, totals = G.legend_stats(_pts(spark, sf))
