@@ -82,6 +82,7 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
     the 3^d cells at side r; a query with k candidates within r is exact;
     the rest retry at 2r. ``weight`` scales squared distances (nan-Euclidean)."""
     limit = r
+    cached = []
     for step in range(max_rounds):
         last = limit >= diameter
         pairs = neighbour_pairs(data, cols, limit, id_col, queries=pending, weight=weight).where(
@@ -89,6 +90,7 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
         w = Window.partitionBy("qid").orderBy("dist", "pid")
         top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
         top = stage(top, step)
+        cached.append(top)
         if last:
             resolved_ids = pending.select(_q(id_col).alias("qid"))
         else:
@@ -99,9 +101,16 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
         done = got if done is None else done.unionByName(got)
         pending = pending.join(resolved_ids.withColumnRenamed("qid", id_col), id_col, "left_anti")
         pending = stage(pending, step)
+        cached.append(pending)
         if last or pending.limit(1).count() == 0:
             break
         limit *= 2.0
+    if done is not None:
+        # one table with a one-step plan for whatever joins it next (LOF,
+        # layouts); the per-round caches are then released
+        done = cut_lineage(done)
+    for c in cached:
+        c.unpersist()
     return done
 
 
