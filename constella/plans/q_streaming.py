@@ -61,7 +61,7 @@ def t2_rate_limit_stream(spark, sf):
           "PRECEDING) AS sid FROM e) SELECT user_id, min(ts) AS opened_at, max(ts) + INTERVAL 120 SECOND AS "
           "closed_at, count(*) AS pings FROM s GROUP BY user_id, sid")
 def t3_stale_connections(spark, sf):
-    return T.stale_connections(_events(spark, sf).select("user_id", "ts"))
+    return T.stale_connections_batch(_events(spark, sf).select("user_id", "ts", "event_id"))
 
 
 @register("t3_stale_connections_stream")

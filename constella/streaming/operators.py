@@ -178,6 +178,36 @@ def stale_connections(pings: DataFrame, idle: str = "120 seconds") -> DataFrame:
     return g.select("user_id", F.col("s.start").alias("opened_at"), F.col("s.end").alias("closed_at"), "pings")
 
 
+def stale_connections_batch(pings: DataFrame, idle_seconds: int = 120, bucket: str = "hour") -> DataFrame:
+    """Batch twin of T3 without ordering a hot user in one task: gaps come
+    from a lag inside (user, time bucket) windows plus the previous bucket's
+    last ping; session numbers are the within-bucket running count of gaps
+    >= idle plus the user's count over earlier buckets (a running sum over
+    the small per-bucket table); sessions are then one grouped aggregate."""
+    ev = pings.select("user_id", "ts", F.date_trunc(bucket, F.col("ts")).alias("__b"),
+                      F.monotonically_increasing_id().alias("__k") if "event_id" not in pings.columns
+                      else F.col("event_id").alias("__k"))
+    inner = Window.partitionBy("user_id", "__b").orderBy("ts", "__k")
+    ev = ev.withColumn("__prev", F.lag("ts").over(inner))
+    per_b = ev.groupBy("user_id", "__b").agg(F.max("ts").alias("__last"))
+    ub = Window.partitionBy("user_id").orderBy("__b")
+    carry = per_b.select("user_id", "__b", F.lag("__last").over(ub).alias("__carry"))
+    ev = ev.join(carry, ["user_id", "__b"], "left")
+    prev = F.coalesce(F.col("__prev"), F.col("__carry"))
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
+    ev = ev.withColumn("__new", F.when(prev.isNull() | (gap >= F.lit(idle_seconds * 1_000_000)), 1).otherwise(0))
+    ev = ev.withColumn("__in", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    news = ev.groupBy("user_id", "__b").agg(F.sum("__new").alias("__n"))
+    offs = news.select("user_id", "__b", (F.sum("__n").over(ub.rowsBetween(Window.unboundedPreceding, -1)))
+                       .alias("__off"))
+    ev = ev.join(offs, ["user_id", "__b"], "left").withColumn(
+        "__sid", F.coalesce(F.col("__off"), F.lit(0)) + F.col("__in"))
+    g = ev.groupBy("user_id", "__sid").agg(F.min("ts").alias("opened_at"), F.max("ts").alias("__end"),
+                                           F.count(F.lit(1)).alias("pings"))
+    return g.select("user_id", "opened_at",
+                    (F.col("__end") + F.make_interval(secs=F.lit(idle_seconds))).alias("closed_at"), "pings")
+
+
 # --------------------------------------------------------------- T4
 def connection_stats(events: DataFrame, window: str = "1 day", exact: bool = False) -> DataFrame:
     """T4: per window total, authenticated (user known), anonymous, unique
