@@ -19,9 +19,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from constella.functions.ordering import global_row_number
 from constella.operators.neighbors import connected_components, knn_join, neighbour_pairs
 
 
@@ -41,8 +42,8 @@ def single_linkage_threshold(points: DataFrame, cols: Sequence[str], threshold:
         (F.col("dist") <= F.lit(threshold)) & (F.col("qid") < F.col("pid")))
     comp = connected_components(coords.select("id"), pairs.select(F.col("qid").alias("src"),
                                                                   F.col("pid").alias("dst")))
-    number = comp.select("component").distinct().withColumn(
-        "cluster", (F.dense_rank().over(Window.orderBy("component")) - 1).cast("int"))
+    number = global_row_number(comp.select("component").distinct(), ["component"], "__rn").select(
+        "component", (F.col("__rn") - 1).cast("int").alias("cluster"))
     lab = coords.join(comp, "id").join(number, "component").select(*cols, "cluster")
     return pts.join(lab, list(cols)).select(id_col, "cluster")
 

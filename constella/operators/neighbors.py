@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from constella.functions.ordering import global_row_number
 from constella.session import cut_lineage, stage
 
 
@@ -337,8 +338,9 @@ def _dbscan_labels(pts: DataFrame, coords: DataFrame, pairs: DataFrame, cols: Se
                   .join(core.withColumnRenamed("id", "pid"), "pid", "left_semi")
                   .select(F.col("qid").alias("src"), F.col("pid").alias("dst")))
     comp = connected_components(core, core_edges)
-    number = comp.select("component").distinct().withColumn(
-        "cluster", (F.dense_rank().over(Window.orderBy("component")) - 1).cast("int"))
+    # clusters numbered 0.. by smallest core id, without a one-task window
+    number = global_row_number(comp.select("component").distinct(), ["component"], "__rn").select(
+        "component", (F.col("__rn") - 1).cast("int").alias("cluster"))
     core_lab = comp.join(number, "component").select(F.col("id"), "cluster")
     # border: non-core point with a core neighbour -> smallest neighbouring cluster
     border = (pairs.join(core_lab.withColumnRenamed("id", "pid"), "pid")

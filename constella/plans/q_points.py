@@ -89,14 +89,13 @@ def g4_lod(spark, sf):
 @register("g5_depth_order", _base(f"SELECT point_id, {R('depth')} AS depth, CAST(row_number() OVER (ORDER BY depth, "
                                   "point_id) AS INTEGER) AS draw_order FROM proj"))
 def g5_depth_order(spark, sf):
-    from pyspark.sql import Window
+    from constella.functions.ordering import global_row_number
 
     p = G.project(_pts(spark, sf), CAM, VP)
-    # a numbered draw order: a global sort (range-partitioned, not one task)
-    # then the rank as an exact row number
-    o = G.depth_order(p).select("point_id", "depth")
-    return o.withColumn("draw_order", F.row_number().over(Window.orderBy("depth", "point_id")).cast("int")) \
-        .select("point_id", round_to("depth").alias("depth"), "draw_order")
+    # the draw order as an exact global row number: range-partitioned on
+    # (depth, point_id), numbered per partition plus the partition's offset
+    o = global_row_number(p.select("point_id", "depth"), ["depth", "point_id"], "draw_order")
+    return o.select("point_id", round_to("depth").alias("depth"), F.col("draw_order").cast("int").alias("draw_order"))
 
 
 @register("g6_batches", _base(

@@ -42,6 +42,18 @@ def test_mode_ties_go_to_smallest_value(spark):
     assert filled[5] == 2.0
 
 
+def test_global_row_number_matches_a_sort(spark):
+    from constella.functions.ordering import global_row_number
+
+    rows = [(i, float(i % 7)) for i in range(1000)]  # many ties on the first key
+    df = spark.createDataFrame(rows, "id long, d double")
+    got = {r["id"]: r["rn"] for r in global_row_number(df, ["d", "id"], "rn", partitions=6).collect()}
+    want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda t: (t[1], t[0])))}
+    assert got == want
+    empty = global_row_number(df.limit(0), ["d", "id"], "rn")
+    assert empty.count() == 0
+
+
 def test_duplicate_rows_counted(spark):
     df = _df(spark, [(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 2.0, None)])
     rows = P.extended_profile(df).collect()
