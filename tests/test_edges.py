@@ -54,6 +54,21 @@ def test_global_row_number_matches_a_sort(spark):
     assert empty.count() == 0
 
 
+def test_bucketed_sessions_equal_session_window_across_hours(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1, 0, 55, 0)
+    ts, t = [], t0
+    for i in range(200):  # one hot user: pings every 100 s, a 5-minute pause now and then
+        t = t + dt.timedelta(seconds=300 if i % 37 == 0 else 100)
+        ts.append(t)
+    rows = [(7, x, i) for i, x in enumerate(ts)] + [(8, t0, 1000), (8, t0 + dt.timedelta(seconds=119), 1001)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long")
+    a = sorted(tuple(r) for r in T.stale_connections_batch(df).collect())
+    b = sorted(tuple(r) for r in T.stale_connections(df.select("user_id", "ts")).collect())
+    assert a == b and len(a) > 3
+
+
 def test_duplicate_rows_counted(spark):
     df = _df(spark, [(1, 1.0, 1.0), (1, 1.0, 1.0), (2, 2.0, None)])
     rows = P.extended_profile(df).collect()
