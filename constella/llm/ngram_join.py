@@ -8,16 +8,18 @@ links, a good one keeps candidate lists short.
 
 1. Candidates. Two sets with Jaccard >= 0.8 share a shingle among the first
    n - ceil(0.8 n) + 1 of each. Documents that share such a prefix shingle
-   form a list; equal lists are kept once. In each list the smallest document
-   leads, and only (leader, member) pairs are tested: linear, not all pairs.
-   Sizes further apart than the threshold allows are never tested.
+   form a list; equal lists are kept once. The smallest document of a list
+   leads it, and each document is tested with the smallest of its leaders:
+   one pair a document, not all pairs. Sizes further apart than the threshold
+   allows are never tested.
 2. Vertical counting. The global order is cut into fragments at frequency
    pivots. For the tested pairs each fragment's overlap is counted on its own,
    in its own task, and partial counts are summed per pair.
-3. Completion. After the links' components are known, only lists whose members
-   still lie in different components matter; there the remaining pairs across
-   components are tested the same way. No link between documents of different
-   components is lost, and a large group costs one test a member.
+3. Completion. Lists whose members lie in one component are done. In the
+   others every member outside its leader's component is tested with the
+   leader, and what still spans components after that pair by pair. No link
+   between documents of different components is lost, and a large group costs
+   few tests a member.
 
 Skew: a shingle estimated in more than ``split_at`` documents is dealt over
 salts; the smallest document of a batch stands in every salt, so all salts
@@ -59,7 +61,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Whole texts to sorted distinct shingle hashes."""
 
-    def __init__(self, words: int = WORDS, remember: int = 500_000):
+    def __init__(self, words: int = WORDS, remember: int = 300_000):
         self.words, self.remember, self.known = words, remember, {}
 
     def __getstate__(self):
@@ -264,16 +266,23 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def leader_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """(x leader, y member) of every list, sizes allowing."""
+    """(x, y): every document y with the smallest leader x among its lists,
+    sizes allowing. One pair a document, whatever the lists' number."""
     def run(batches):
         for b in batches:
+            xs, ys = [], []
             for d, n in zip(b.column("docs").to_pylist(), b.column("sizes").to_pylist()):
                 d, n = np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4").astype(np.int64)
-                ok = 100 * np.minimum(n[1:], n[0]) >= threshold * np.maximum(n[1:], n[0])
-                if ok.any():
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(np.full(ok.sum(), d[0])), "y": pa.array(d[1:][ok])})
+                y = d[1:][100 * np.minimum(n[1:], n[0]) >= threshold * np.maximum(n[1:], n[0])]
+                xs.append(np.full(len(y), d[0]))
+                ys.append(y)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            order = np.lexsort((x, y))
+            order = order[np.r_[True, y[order][1:] != y[order][:-1]][:len(order)]]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(x[order]), "y": pa.array(y[order])})
 
-    return lists.select("docs", "sizes").mapInArrow(run, "x long, y long").distinct()
+    rows = lists.select("docs", "sizes").mapInArrow(run, "x long, y long")
+    return rows.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, tool, order, threshold: int, members: int = 400,
@@ -338,8 +347,9 @@ def _runs(pdf: pd.DataFrame):
         yield (key[0][lo], key[1][lo]), pdf.iloc[lo:hi]
 
 
-def open_pairs(lists: DataFrame, components: DataFrame, threshold: int, buckets: int) -> DataFrame:
-    """Untested pairs across components inside lists that span several."""
+def open_pairs(lists: DataFrame, components: DataFrame, threshold: int, buckets: int, leaders: bool) -> DataFrame:
+    """Pairs across components inside lists that span several: with the
+    leader only, or (once those are tested) all others."""
     def unpack(batches):
         for b in batches:
             for sig, d, n, a in zip(*(b.column(c).to_pylist() for c in ("sig", "docs", "sizes", "salts"))):
@@ -363,8 +373,12 @@ def open_pairs(lists: DataFrame, components: DataFrame, threshold: int, buckets:
         found = set()
         for lo, hi in zip(starts, np.r_[starts[1:], len(sig)]):
             split = len(np.unique(a[lo:hi])) > 1
-            # pairs inside the largest component are of no use: start from the others; the
-            # first member is the leader, whose pairs are tested
+            if leaders:
+                j = np.arange(lo + 1, hi)
+                ok = (c[j] != c[lo]) & (100 * np.minimum(n[j], n[lo]) >= threshold * np.maximum(n[j], n[lo]))
+                found.update((int(d[lo]), y) for y in d[j[ok]].tolist())
+                continue
+            # pairs inside the largest component are of no use: start from the others
             names, counts = np.unique(c[lo:hi], return_counts=True)
             large = c[lo + 1:hi] == names[counts.argmax()]
             j = np.arange(lo + 1, hi)
@@ -380,7 +394,7 @@ def open_pairs(lists: DataFrame, components: DataFrame, threshold: int, buckets:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 80, bits: int = 22, fragments: int = 4,
-                    postings: int = 250_000, split_at: int = 1_000_000) -> DataFrame:
+                    postings: int = 2_000_000, split_at: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     ``postings``: about how many prefix postings a task gathers."""
@@ -393,11 +407,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bits: int = 22, fragme
     lists, same = prefix_lists(docs, tool, order, threshold, buckets, split_at)
     edges = cut_lineage(verify(cut_lineage(leader_pairs(lists, threshold)), docs, tool, order, threshold).unionByName(same))
     components = _components(edges)
-    rest = cut_lineage(open_pairs(lists, components, threshold, buckets))
-    if rest.limit(1).count():
-        more = cut_lineage(verify(rest, docs, tool, order, threshold))
-        if more.limit(1).count():
-            components = _components(edges.unionByName(more))
+    for leaders in (True, False):
+        rest = cut_lineage(open_pairs(lists, components, threshold, buckets, leaders))
+        if rest.limit(1).count():
+            more = cut_lineage(verify(rest, docs, tool, order, threshold))
+            if more.limit(1).count():
+                edges = edges.unionByName(more)
+                components = _components(edges)
     named = components.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
     return sizes.join(named, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
