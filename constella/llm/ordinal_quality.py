@@ -107,6 +107,11 @@ class Model:
             s[r] = self.weights[i] @ x
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - s[:, None], -40, 40)))
 
+    def bar(self, cutoff: float) -> float:
+        """The tail probability that keeps a text: ``cutoff``, or that of a
+        text with no evidence against it where this is lower (few labels)."""
+        return cutoff if self.weights is None else min(cutoff, float(self.tails([None])[0, -1]))
+
 
 def g_statistic(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
     """Likelihood-ratio statistic of a of n_a against b of n_b documents."""
@@ -210,18 +215,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, **fitting) -> DataFrame:
-    """``score`` plus kept: P(grade >= 2) of at least ``cutoff``."""
-    return score(docs, train(docs, labels, **fitting)).withColumn("kept", F.col("p2") >= cutoff)
+    """``score`` plus kept: P(grade >= 2) of at least ``Model.bar(cutoff)``, so a
+    text without evidence against it stays."""
+    model = train(docs, labels, **fitting)
+    return score(docs, model).withColumn("kept", F.col("p2") >= model.bar(cutoff))
 
 
 def select(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, **fitting) -> DataFrame:
     """The rows of ``docs``, all columns, with P(grade >= 2) of at least
-    ``cutoff``. The model judges each row where it lies: no join, no shuffle."""
-    shared = share(docs.sparkSession, train(docs, labels, **fitting))
+    ``Model.bar(cutoff)``. The model judges each row where it lies: no join, no shuffle."""
+    model = train(docs, labels, **fitting)
+    shared, bar = share(docs.sparkSession, model), model.bar(cutoff)
 
     def run(batches):
         for b in batches:
             p = shared().tails(b.column("text").to_pylist())
-            yield b.filter(pa.array(p[:, -1] >= cutoff))
+            yield b.filter(pa.array(p[:, -1] >= bar))
 
     return docs.mapInArrow(run, docs.schema)
