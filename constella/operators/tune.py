@@ -54,19 +54,26 @@ def param_sample(grid: list[dict], n: int, seed: int = 42) -> list[dict]:
     return ranked[:n]
 
 
+#: (algorithm, parameter) -> first value that n rows cannot support.
+VALUE_LIMITS = {
+    ("tsne", "perplexity"): lambda n: (n - 1) // 3,
+    ("umap", "n_neighbors"): lambda n: n - 1,
+    ("kmeans", "n_clusters"): lambda n: min(n, 11),
+    ("dbscan", "min_samples"): lambda n: max(3, n // 10 + 1),
+}
+
+
 def adjust_space(space: dict, algorithm: str, n_samples: int) -> dict:
-    """O3: drop values impossible for n rows."""
-    s = {k: list(v) for k, v in space.items()}
-    if algorithm == "tsne" and "perplexity" in s:
-        top = (n_samples - 1) // 3
-        s["perplexity"] = [p for p in s["perplexity"] if p < top] or [min(5, top)]
-    elif algorithm == "umap" and "n_neighbors" in s:
-        s["n_neighbors"] = [v for v in s["n_neighbors"] if v < n_samples - 1]
-    elif algorithm == "kmeans" and "n_clusters" in s:
-        s["n_clusters"] = [k for k in s["n_clusters"] if k <= min(n_samples - 1, 10)]
-    elif algorithm == "dbscan" and "min_samples" in s:
-        s["min_samples"] = [m for m in s["min_samples"] if m <= max(2, n_samples // 10)]
-    return s
+    """O3: the space without values that n rows cannot support. Perplexity
+    always keeps one value, the smaller of 5 and its limit."""
+    def fits(name, value) -> bool:
+        limit = VALUE_LIMITS.get((algorithm, name))
+        return limit is None or value < limit(n_samples)
+
+    out = {name: [v for v in values if fits(name, v)] for name, values in space.items()}
+    if algorithm == "tsne" and out.get("perplexity") == []:
+        out["perplexity"] = [min(5, VALUE_LIMITS["tsne", "perplexity"](n_samples))]
+    return out
 
 
 def confidence(scores: Sequence[float]) -> float:
