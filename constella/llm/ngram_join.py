@@ -18,8 +18,8 @@ links, a good one keeps candidate lists short.
 3. Completion. Lists whose members lie in one component are done. In the
    others every member outside its leader's component is tested with the
    leader, and what still spans components after that pair by pair. No link
-   between documents of different components is lost, and a large group costs
-   few tests a member.
+   between documents of different components is lost. The last round is the
+   costly one: its pairs grow with the square of a list that stays split.
 
 Skew: a shingle estimated in more than ``split_at`` documents is dealt over
 salts; the smallest document of a batch stands in every salt, so all salts
