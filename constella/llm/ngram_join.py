@@ -8,22 +8,27 @@ links, a good one keeps candidate lists short.
 
 1. Candidates. Two sets with Jaccard >= 0.8 share a shingle among the first
    n - ceil(0.8 n) + 1 of each. Documents that share such a prefix shingle
-   form a list; equal lists are kept once. The smallest document of a list
-   leads it, and each document is tested with the smallest of its leaders:
-   one pair a document, not all pairs. Sizes further apart than the threshold
-   allows are never tested.
+   form a list. A pair is met in the list of its first common shingle; there
+   its overlap cannot exceed what either set has left from that place on, so
+   a pair with less left than the threshold asks for is not one of that list,
+   and members without any such partner leave it. Of equal lists the one of
+   the first shingle is kept: it holds the first common shingle of every pair
+   that the others could hold. The smallest document of a list leads it, and
+   each document is tested with the smallest of its leaders: one pair a
+   document, not all pairs.
 2. Vertical counting. The global order is cut into fragments at frequency
    pivots. For the tested pairs each fragment's overlap is counted on its own,
    in its own task, and partial counts are summed per pair.
 3. Completion. Lists whose members lie in one component are done. In the
    others every member outside its leader's component is tested with the
-   leader, and what still spans components after that pair by pair. No link
-   between documents of different components is lost. The last round is the
-   costly one: its pairs grow with the square of a list that stays split.
+   leader, and what still spans components after that pair by pair, again
+   only pairs with enough left. No link between documents of different
+   components is lost. Which lists span components is found from packed
+   memberships: a task sends one row a document, and one row a list back.
 
 Skew: a shingle estimated in more than ``split_at`` documents is dealt over
 salts; the smallest document of a batch stands in every salt, so all salts
-share the leader, and step 3 meets salts pair by pair. Equal sets inside a
+share the leader, and every two salts share a list. Equal sets inside a
 task are linked there and sent on once. Leaders with many members are repeated
 over salts.
 
@@ -49,7 +54,8 @@ from constella.session import cut_lineage
 
 WORDS = 5
 SLICES = 16
-POSTING = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("a", "<u2")])
+#: shingle, document, size of its set, what the set has left from the shingle on
+POSTING = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("r", "<u4")])
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,7 +156,7 @@ class Order:
 
 def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, split_at: int):
     """Lists of documents that share a prefix shingle (sig, docs, sizes,
-    salts) and the equal sets found inside tasks (x, y)."""
+    rests, first) and the equal sets found inside tasks (x, y)."""
 
     def run(batches):
         shingler, o, first = tool(), order(), {}
@@ -178,6 +184,7 @@ def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, spl
             post["t"] = np.concatenate([x[2] for x in out])
             post["d"] = np.repeat([x[0] for x in out], [len(x[2]) for x in out])
             post["n"] = np.repeat([x[1] for x in out], [len(x[2]) for x in out])
+            post["r"] = np.concatenate([x[1] - np.arange(len(x[2])) for x in out])
             post = _salted(post, np.concatenate([x[3] for x in out]), split_at)
             where = (post["t"] >> np.uint64(20)) % np.uint64(buckets)
             post = post[np.argsort(where, kind="stable")]
@@ -191,30 +198,55 @@ def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, spl
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.bucket.iloc[0] < 0:  # equal sets, dealt over many groups by their text
-            return pd.DataFrame({"sig": 0, "docs": list(pdf.data), "sizes": b"", "salts": b""})
-        post = np.concatenate([np.frombuffer(x, POSTING) for x in pdf.data])
-        post = post[np.lexsort((post["d"], post["t"]))]
-        new = np.r_[True, (post["t"][1:] != post["t"][:-1])]
-        start = np.flatnonzero(new)
+            return pd.DataFrame({"sig": 0, "docs": list(pdf.data), "sizes": b"", "rests": b"", "first": 0})
+        post = _with_partners(np.concatenate([np.frombuffer(x, POSTING) for x in pdf.data]), threshold)
+        post = post[np.lexsort((post["n"], post["d"], post["t"]))]
+        same = (post["t"][1:] == post["t"][:-1]) & (post["d"][1:] == post["d"][:-1]) & (post["n"][1:] == post["n"][:-1])
+        post = post[np.r_[True, ~same][:len(post)]]
+        start = np.flatnonzero(np.r_[True, (post["t"][1:] != post["t"][:-1])][:len(post)])
         size = np.diff(np.r_[start, len(post)])
         lists = {}
         for lo, m in zip(start[size > 1].tolist(), size[size > 1].tolist()):
             g = post[lo:lo + m]
-            g = g[np.r_[True, g["d"][1:] != g["d"][:-1]]]
-            if len(g) > 1:
-                lists.setdefault(g["d"].tobytes(), (g["n"].tobytes(), g["a"].tobytes()))
-        return pd.DataFrame({"sig": [int(np.frombuffer(_digest8(d + v[1]), "<i8")[0]) for d, v in lists.items()],
-                             "docs": list(lists), "sizes": [v[0] for v in lists.values()],
-                             "salts": [v[1] for v in lists.values()]})
-
-    shape = "sig long, docs binary, sizes binary, salts binary"
+            key, first = (g["d"].tobytes(), g["n"].tobytes()), int(g["n"][0]) - int(g["r"][0])
+            if key not in lists or first < lists[key][1]:
+                lists[key] = g["r"].tobytes(), first
+        return pd.DataFrame({"sig": [int(np.frombuffer(_digest8(d + n), "<i8")[0]) for d, n in lists],
+                             "docs": [k[0] for k in lists], "sizes": [k[1] for k in lists],
+                             "rests": [v[0] for v in lists.values()], "first": [v[1] for v in lists.values()]})
+
+    shape = "sig long, docs binary, sizes binary, rests binary, first long"
     spread = F.when(F.col("bucket") < 0, F.xxhash64("data") % 64).otherwise(F.lit(0))
     found = cut_lineage(rows.withColumn("part", spread).repartition(buckets, "bucket", "part")
                         .groupBy("bucket", "part").applyInPandas(gather, shape))
-    lists = found.where(F.length("sizes") > 0).dropDuplicates(["sig"])
+    # the place of a list's first document tells which of equal lists has the earlier shingle
+    whole = F.struct("docs", "sizes", "rests")
+    lists = found.where(F.length("sizes") > 0).groupBy("sig").agg(F.min_by(whole, "first").alias("w")).select("sig", "w.*")
     return cut_lineage(lists), _pairs_of(found.where(F.length("sizes") == 0))
 
 
+def _reach(n: np.ndarray, r: np.ndarray, threshold: int) -> np.ndarray:
+    """The largest set with which a set of n shingles can reach the threshold
+    when only r of its shingles can be common."""
+    return (r.astype(np.int64) * (100 + threshold) - threshold * n.astype(np.int64)) // threshold
+
+
+def _with_partners(post: np.ndarray, threshold: int) -> np.ndarray:
+    """The postings that have another one of their shingle within reach."""
+    post = post[np.lexsort((post["n"], post["t"]))]
+    if not len(post):
+        return post
+    n, reach = post["n"].astype(np.int64), _reach(post["n"], post["r"], threshold)
+    new = np.r_[True, post["t"][1:] != post["t"][:-1]]
+    larger = np.r_[~new[1:] & (n[1:] <= reach[:-1]), False]
+    # running maximum of reach inside a shingle, up to the row before
+    group = np.cumsum(new) << 36
+    before = np.r_[0, np.maximum.accumulate(reach + group)[:-1]] - group
+    least = n[np.flatnonzero(new)][np.cumsum(new) - 1]
+    smaller = ~new & (before >= n) & (least <= reach)
+    return post[larger | smaller]
+
+
 def _row(bucket: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "data": pa.array([data], pa.binary())})
 
@@ -235,7 +267,6 @@ def _salted(post: np.ndarray, frequency: np.ndarray, split_at: int) -> np.ndarra
     """Postings of very frequent shingles, dealt over salts; the batch's
     smallest document of each goes to every salt. Each pair of salts is a key
     of its own, so any two documents meet."""
-    post["a"] = 0
     salts = frequency // split_at + 1
     hot = salts > 1
     if not hot.any():
@@ -249,7 +280,6 @@ def _salted(post: np.ndarray, frequency: np.ndarray, split_at: int) -> np.ndarra
         for a in range(s) if first else [own]:
             for b in range(s):
                 q = p.copy()
-                q["a"] = a
                 q["t"] = _mix(np.array([int(p["t"]) ^ (min(a, b) * 65536 + max(a, b) + 1)], np.uint64))[0]
                 out.append(np.array([q], POSTING))
     return np.concatenate(out)
@@ -266,14 +296,14 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def leader_pairs(lists: DataFrame, threshold: int) -> DataFrame:
-    """(x, y): every document y with the smallest leader x among its lists,
-    sizes allowing. One pair a document, whatever the lists' number."""
+    """(x, y): every document y with the smallest leader x within reach among
+    its lists. One pair a document, whatever the lists' number."""
     def run(batches):
         for b in batches:
             xs, ys = [], []
-            for d, n in zip(b.column("docs").to_pylist(), b.column("sizes").to_pylist()):
-                d, n = np.frombuffer(d, "<i8"), np.frombuffer(n, "<u4").astype(np.int64)
-                y = d[1:][100 * np.minimum(n[1:], n[0]) >= threshold * np.maximum(n[1:], n[0])]
+            for d, n, r in zip(*(b.column(c).to_pylist() for c in ("docs", "sizes", "rests"))):
+                d, n, reach = _list(d, n, r, threshold)
+                y = d[1:][(n[1:] <= reach[0]) & (n[0] <= reach[1:]) & (d[1:] != d[0])]
                 xs.append(np.full(len(y), d[0]))
                 ys.append(y)
             x, y = np.concatenate(xs), np.concatenate(ys)
@@ -281,7 +311,7 @@ def leader_pairs(lists: DataFrame, threshold: int) -> DataFrame:
             order = order[np.r_[True, y[order][1:] != y[order][:-1]][:len(order)]]
             yield pa.RecordBatch.from_pydict({"x": pa.array(x[order]), "y": pa.array(y[order])})
 
-    rows = lists.select("docs", "sizes").mapInArrow(run, "x long, y long")
+    rows = lists.select("docs", "sizes", "rests").mapInArrow(run, "x long, y long")
     return rows.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
 
 
@@ -347,46 +377,92 @@ def _runs(pdf: pd.DataFrame):
         yield (key[0][lo], key[1][lo]), pdf.iloc[lo:hi]
 
 
+def _list(docs: bytes, sizes: bytes, rests: bytes, threshold: int):
+    n = np.frombuffer(sizes, "<u4").astype(np.int64)
+    return np.frombuffer(docs, "<i8"), n, _reach(n, np.frombuffer(rests, "<u4"), threshold)
+
+
+def spanning(lists: DataFrame, components: DataFrame, hold: int = 1_000_000) -> DataFrame:
+    """The lists (sig) whose documents lie in several components."""
+    def packed(sig, d):
+        order = np.argsort(d, kind="stable")
+        sig, d = sig[order], d[order]
+        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        ends = pa.py_buffer((np.r_[at, len(d)] * 8).astype("<i4").tobytes())
+        sigs = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(sig.tobytes())])
+        return pa.RecordBatch.from_pydict({"d": pa.array(d[at]), "sigs": sigs})
+
+    def by_document(batches):
+        sig, docs, held = [], [], 0
+        for b in batches:
+            for s, d in zip(b.column("sig").to_pylist(), b.column("docs").to_pylist()):
+                docs.append(np.frombuffer(d, "<i8"))
+                sig.append(np.full(len(docs[-1]), s))
+                held += len(docs[-1])
+                if held > hold:
+                    yield packed(np.concatenate(sig), np.concatenate(docs))
+                    sig, docs, held = [], [], 0
+        if held:
+            yield packed(np.concatenate(sig), np.concatenate(docs))
+
+    def bounds(sig, c):
+        order = np.argsort(sig, kind="stable")
+        sig, c = sig[order], c[order]
+        at = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        return pa.RecordBatch.from_pydict({"sig": pa.array(sig[at]), "lo": pa.array(np.minimum.reduceat(c, at)),
+                                           "hi": pa.array(np.maximum.reduceat(c, at))})
+
+    def by_list(batches):
+        sig, c, held = [], [], 0
+        for b in batches:
+            got = b.column("sigs").to_pylist()
+            sig.append(np.frombuffer(b"".join(got), "<i8"))
+            c.append(np.repeat(b.column("c").to_numpy(), [len(x) // 8 for x in got]))
+            held += len(sig[-1])
+            if held > hold:
+                yield bounds(np.concatenate(sig), np.concatenate(c))
+                sig, c, held = [], [], 0
+        if held:
+            yield bounds(np.concatenate(sig), np.concatenate(c))
+
+    rows = lists.select("sig", "docs").mapInArrow(by_document, "d long, sigs binary")
+    rows = rows.join(components.withColumnRenamed("id", "d"), "d", "left").select(
+        "sigs", F.coalesce("component", "d").alias("c"))
+    ends = rows.mapInArrow(by_list, "sig long, lo long, hi long")
+    return ends.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("sig")
+
+
 def open_pairs(lists: DataFrame, components: DataFrame, threshold: int, buckets: int, leaders: bool) -> DataFrame:
-    """Pairs across components inside lists that span several: with the
-    leader only, or (once those are tested) all others."""
+    """Pairs across components within reach inside ``lists``: with the leader
+    only, or (once those are tested) all others."""
     def unpack(batches):
         for b in batches:
-            for sig, d, n, a in zip(*(b.column(c).to_pylist() for c in ("sig", "docs", "sizes", "salts"))):
-                d = np.frombuffer(d, "<i8")
-                yield pa.RecordBatch.from_pydict({
-                    "sig": pa.array(np.full(len(d), sig)), "lead": pa.array(np.full(len(d), d[0])), "d": pa.array(d),
-                    "n": pa.array(np.frombuffer(n, "<u4").astype(np.int64)),
-                    "a": pa.array(np.frombuffer(a, "<u2").astype(np.int32))})
-
-    rows = lists.mapInArrow(unpack, "sig long, lead long, d long, n long, a int")
-    rows = rows.join(components.select(F.col("id").alias("d"), "component"), "d", "left").withColumn(
+            for sig, d, n, r in zip(*(b.column(c).to_pylist() for c in ("sig", "docs", "sizes", "rests"))):
+                d, n, reach = _list(d, n, r, threshold)
+                yield pa.RecordBatch.from_pydict({"sig": pa.array(np.full(len(d), sig)), "d": pa.array(d),
+                                                  "n": pa.array(n), "reach": pa.array(reach)})
+
+    rows = lists.mapInArrow(unpack, "sig long, d long, n long, reach long")
+    rows = rows.join(components.withColumnRenamed("id", "d"), "d", "left").withColumn(
         "c", F.coalesce("component", "d")).drop("component")
-    rows = cut_lineage(rows)
-    span = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    rows = rows.join(cut_lineage(span), "sig")
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sig", "d"], kind="stable")
-        sig, d, n, a, c = (pdf[k].to_numpy() for k in ("sig", "d", "n", "a", "c"))
+        pdf = pdf.sort_values(["sig", "d"] if leaders else ["sig", "n"], kind="stable")
+        sig, d, n, reach, c = (pdf[k].to_numpy() for k in ("sig", "d", "n", "reach", "c"))
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         found = set()
-        for lo, hi in zip(starts, np.r_[starts[1:], len(sig)]):
-            split = len(np.unique(a[lo:hi])) > 1
+        for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(sig)].tolist()):
             if leaders:
-                j = np.arange(lo + 1, hi)
-                ok = (c[j] != c[lo]) & (100 * np.minimum(n[j], n[lo]) >= threshold * np.maximum(n[j], n[lo]))
-                found.update((int(d[lo]), y) for y in d[j[ok]].tolist())
+                ok = (c[lo:hi] != c[lo]) & (n[lo:hi] <= reach[lo]) & (n[lo] <= reach[lo:hi])
+                found.update((int(d[lo]), y) for y in d[lo:hi][ok].tolist())
                 continue
-            # pairs inside the largest component are of no use: start from the others
-            names, counts = np.unique(c[lo:hi], return_counts=True)
-            large = c[lo + 1:hi] == names[counts.argmax()]
-            j = np.arange(lo + 1, hi)
-            for i in j[~large]:
-                ok = (c[j] != c[i]) & (large | (j > i)) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))
-                if split:
-                    ok &= a[j] != a[i]
-                found.update((min(int(d[i]), y), max(int(d[i]), y)) for y in d[j[ok]].tolist())
+            # by rising size: the larger partners of i are a run behind it
+            ends = lo + np.searchsorted(n[lo:hi], reach[lo:hi], side="right")
+            for i in np.flatnonzero(ends > np.arange(lo, hi) + 1).tolist():
+                j = slice(lo + i + 1, int(ends[i]))
+                ok = (c[j] != c[lo + i]) & (n[lo + i] <= reach[j])
+                x = int(d[lo + i])
+                found.update((min(x, y), max(x, y)) for y in d[j][ok].tolist())
         return pd.DataFrame(sorted(found), columns=["x", "y"], dtype="int64")
 
     g = F.pmod(F.xxhash64("sig"), F.lit(buckets * 8))
@@ -408,6 +484,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bits: int = 22, fragme
     edges = cut_lineage(verify(cut_lineage(leader_pairs(lists, threshold)), docs, tool, order, threshold).unionByName(same))
     components = _components(edges)
     for leaders in (True, False):
+        lists = cut_lineage(lists.join(spanning(lists, components), "sig"))
         rest = cut_lineage(open_pairs(lists, components, threshold, buckets, leaders))
         if rest.limit(1).count():
             more = cut_lineage(verify(rest, docs, tool, order, threshold))

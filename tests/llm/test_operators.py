@@ -278,6 +278,52 @@ def test_ngram_join_brute_force(docs, rows, split_at):
     assert near_duplicates(empty(docs)).count() == 0
 
 
+def test_ngram_join_keeps_partners_within_reach():
+    """Every pair that the threshold allows at its first common shingle stays
+    within reach of each other; all others of a shingle may leave."""
+    from constella.llm.ngram_join import POSTING, _reach, _with_partners
+
+    g = np.random.default_rng(5)
+    post = np.zeros(600, POSTING)
+    post["t"], post["d"], post["n"] = g.integers(0, 60, 600), np.arange(600), g.integers(1, 60, 600)
+    post["r"] = post["n"] - (post["n"] * g.uniform(0, 0.2, 600)).astype(int)
+    kept = set(_with_partners(post, 80)["d"].tolist())
+    reach = _reach(post["n"], post["r"], 80)
+    for a in post:
+        for b in post[(post["t"] == a["t"]) & (post["d"] != a["d"])]:
+            most = min(int(a["r"]), int(b["r"]))
+            links = 100 * most >= 80 * (int(a["n"]) + int(b["n"]) - most)
+            assert links == (b["n"] <= reach[a["d"]] and a["n"] <= reach[b["d"]])
+            assert not links or {int(a["d"]), int(b["d"])} <= kept
+    assert len(kept) < 600 and len(_with_partners(post[:0], 80)) == 0
+
+
+def test_ngram_join_shared_passage(spark):
+    """Texts around one shared passage: some link, most only share it."""
+    from constella.llm.ngram_join import near_duplicates
+
+    g = np.random.default_rng(11)
+    passage = [f"p{k}" for k in range(60)]
+    texts = []
+    for k in range(120):
+        own = [f"w{k}x{j}" for j in range(int(g.integers(0, 16)))]
+        texts.append(" ".join(own + passage) if k % 2 else " ".join(passage + own))
+    near = texts[7].split() + ["z"]
+    texts += [" ".join(near), " ".join(near[:-3]), texts[9]]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    comp = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                if comp[b] < comp[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    comp[a], changed = comp[b], True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()}
+    assert got == dict(enumerate(comp)) and 1 < len(set(comp)) < len(texts)
+
+
 # -------------------------------------------------------------------- pipeline
 def test_pipeline_runs_all_stages(spark):
     import corpus_pipeline
