@@ -109,7 +109,8 @@ def measure(docs: DataFrame, tool, bits: int) -> tuple[DataFrame, np.ndarray]:
             sets = [shingler.shingles(t) for t in b.column("text").to_pylist()]
             if sets:
                 every = np.concatenate(sets)
-                counters += np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
+                found = np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                np.add(counters, found, out=counters, casting="unsafe")
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id").cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "slice": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary())})
@@ -425,7 +426,9 @@ def spanning(lists: DataFrame, components: DataFrame, hold: int = 1_000_000) ->
         if held:
             yield bounds(np.concatenate(sig), np.concatenate(c))
 
-    rows = lists.select("sig", "docs").mapInArrow(by_document, "d long, sigs binary")
+    # dealt as the join needs them anyhow; also where Spark broadcasts the components, so that a task
+    # never has two Python workers at once
+    rows = lists.select("sig", "docs").mapInArrow(by_document, "d long, sigs binary").repartition("d")
     rows = rows.join(components.withColumnRenamed("id", "d"), "d", "left").select(
         "sigs", F.coalesce("component", "d").alias("c"))
     ends = rows.mapInArrow(by_list, "sig long, lo long, hi long")
