@@ -228,7 +228,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
                          checkpoint_every: int = 4) -> DataFrame:
     """(id, component = smallest id reachable). ``edges`` (src, dst) are
     treated as undirected. Min-label propagation: each round is one join and
-    one grouped min; stops when no label changes (a distributed count)."""
+    one grouped min; stops when no label changes (a distributed count) and
+    raises when ``max_iter`` rounds are not enough."""
     e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = cut_lineage(e.distinct())  # truncates the plan the loop re-analyses
     labels = vertices.select(F.col("id"), F.col("id").alias("label"))
@@ -250,8 +251,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
         changed = new.where("changed").limit(1).count()
         labels = new.select("id", "label")
         if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
+    raise RuntimeError(f"components still change after {max_iter} rounds; raise max_iter")
 
 
 # ------------------------------------------------------------------ DBSCAN

@@ -245,3 +245,13 @@ def test_kmeans_assign_is_nearest(spark):
     lab = {r["row_id"]: r["cluster"] for r in m.assign(df).collect()}
     for i in range(len(X)):
         assert lab[i] == int(np.argmin(((m.centres - X[i]) ** 2).sum(1)))
+
+
+def test_components_raise_when_not_converged(spark):
+    from constella.operators.neighbors import connected_components
+
+    v = spark.range(40)
+    e = v.where("id < 39").selectExpr("id AS src", "id + 1 AS dst")
+    with pytest.raises(RuntimeError):
+        connected_components(v, e, max_iter=1)
+    assert connected_components(v, e).where("component <> 0").count() == 0
