@@ -82,13 +82,20 @@ def impute_drop(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """NaN cells of ``cols`` are missing values, like nulls."""
+    floats = {c for c, kind in df.dtypes if kind in ("double", "float") and c in cols}
+    return df.select(*[F.when(~F.isnan(_q(c)), _q(c)).alias(c) if c in floats else _q(c) for c in df.columns])
+
+
 def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    r = df.agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
+    r = missing_as_null(df, cols).agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
     return {c: r[c] for c in cols}
 
 
 def fill_with(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     exprs = []
+    df = missing_as_null(df, list(values))
     for c in df.columns:
         if c in values and values[c] is not None:
             exprs.append(F.coalesce(_q(c), F.lit(float(values[c]))).alias(c))
@@ -102,7 +109,7 @@ def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    q = exact_quantiles(df, cols, [0.5])
+    q = exact_quantiles(missing_as_null(df, cols), cols, [0.5])
     return {c: q[(c, 0.5)] for c in cols}
 
 
@@ -113,7 +120,7 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Most frequent value per column; ties go to the smallest value. The
     count per (column, value) is a distributed aggregate; only d rows return."""
-    long = df.select(F.inline(F.array(*[
+    long = missing_as_null(df, cols).select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), _q(c).cast("double").alias("value")) for c in cols])))
     counts = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").count()
     w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))

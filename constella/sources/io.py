@@ -76,13 +76,27 @@ def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     lands in ``_corrupt_record`` and is rejected."""
     df = spark.read.option("multiLine", multi_line).json(path)
     if "_corrupt_record" in df.columns:
-        bad = df.where(F.col("_corrupt_record").isNotNull()).limit(1).count()
-        if bad:
+        # whole rows: Spark refuses a scan of this column alone
+        if df.columns == ["_corrupt_record"] or df.where(F.col("_corrupt_record").isNotNull()).first():
             raise SourceError("JSON must be an array of objects or a single object")
         df = df.drop("_corrupt_record")
     return df
 
 
+def read_json_any(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, or else arrays and objects that stretch over lines (all
+    files of a path in one form). Only a path whose first line opens such a
+    value is read as whole files, so a bad line of JSON lines stays an error."""
+    try:
+        return read_json(spark, path)
+    except SourceError:
+        head = spark.read.text(path).where(F.trim("value") != "").first()
+        opening = head["value"].strip() if head else ""
+        if opening.startswith("[") or opening == "{":
+            return read_json(spark, path, multi_line=True)
+        raise
+
+
 # S3
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet", ".pq": "parquet"}
 MIME_FORMATS = {"text/csv": "csv", "application/json": "json", "application/vnd.apache.parquet": "parquet"}
@@ -94,7 +108,7 @@ def read_table(spark: SparkSession, path: str, mime: str | None = None) -> DataF
     if fmt == "csv":
         return read_csv(spark, path)
     if fmt == "json":
-        return read_json(spark, path)
+        return read_json_any(spark, path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if ext in (".xls", ".xlsx"):

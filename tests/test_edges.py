@@ -120,3 +120,34 @@ def test_out_of_order_events_within_the_watermark_are_kept(spark):
     # (t0+4h) is still open when the input ends, so append mode has not
     # emitted it yet
     assert len(sessions) == 2 and sessions[max(sessions)] == 1
+
+
+def test_rounding_keeps_large_and_special_values(spark):
+    from constella.functions.numeric import round_sig, round_to
+
+    xs = [2e13, -4e15, float("inf"), float("-inf"), 1.23456789, None, float("nan")]
+    out = _df(spark, [(i, x, None) for i, x in enumerate(xs)]).orderBy("row_id").select(
+        round_to("a", 3).alias("r"), round_sig("a", 4).alias("s")).collect()
+    assert [r["r"] for r in out[:6]] == [2e13, -4e15, math.inf, -math.inf, 1.235, None]
+    assert [r["s"] for r in out[2:6]] == [math.inf, -math.inf, 1.235, None]
+    assert math.isnan(out[6]["r"]) and math.isnan(out[6]["s"])
+
+
+def test_imputation_treats_nan_as_missing(spark):
+    df = _df(spark, [(1, 1.0, 1.0), (2, float("nan"), 1.0), (3, None, 1.0), (4, 3.0, 1.0)])
+    for how, want in ((C.impute_mean, 2.0), (C.impute_median, 2.0), (C.impute_mode, 1.0)):
+        assert [r["a"] for r in how(df, ["a"]).orderBy("row_id").collect()] == [1.0, want, want, 3.0]
+
+
+def test_json_forms(spark, tmp_path):
+    from constella.sources.io import SourceError, read_table
+
+    forms = {"lines": '{"a": 1}\n{"a": 2}\n', "array": '[{"a": 1}, {"a": 2}]',
+             "pretty": '[\n  {\n    "a": 1\n  },\n  {"a": 2}\n]\n'}
+    for name, text in forms.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        rows = read_table(spark, str(tmp_path / f"{name}.json")).collect()
+        assert sorted(r["a"] for r in rows) == [1, 2], name
+    (tmp_path / "bad.json").write_text('{"a": 1}\nnot json\n')
+    with pytest.raises(SourceError):
+        read_table(spark, str(tmp_path / "bad.json"))
