@@ -1,9 +1,9 @@
 """URL filters by a path-template tree.
 
 For every host the path segments form a tree, built level by level from counts
-(never from lists of urls): a node whose children are mostly rare (no child
-holds ``literal_share`` of the node, or more than ``max_children`` differ)
-turns its children into the wildcard '*'. Siblings that stay literal and whose
+(never from lists of urls): children that hold less than ``literal_share`` of
+their node turn into the wildcard '*', whatever their number; heavier ones stay
+literal, at most 1 / ``literal_share`` a node. Siblings that stay literal and whose
 labelled rates do not differ significantly from their pooled rate (a two-sided
 z test) merge into one branch '~'. After ``depth`` levels the rest of a path
 counts as one more segment, so no path is cut off. A template (host and its
@@ -53,8 +53,7 @@ def match_rule(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def templates(paths: DataFrame, depth: int = 6, max_children: int = 50, literal_share: float = 0.02,
-              z: float = 2.576) -> DataFrame:
+def templates(paths: DataFrame, depth: int = 6, literal_share: float = 0.02, z: float = 2.576) -> DataFrame:
     """(host, path, template) from ``paths`` (host, path, n, good, labelled),
     one row a distinct host and path."""
     parts = F.split(F.col("path"), "/")  # the part before the first slash is empty
@@ -72,7 +71,7 @@ def templates(paths: DataFrame, depth: int = 6, max_children: int = 50, literal_
             F.sum(F.when(F.col("labelled") > 0, F.col("good"))).alias("ng"), F.sum("labelled").alias("nl"))
         c = child.join(node, ["host", "template"])
         rare = (F.col("n") < literal_share * F.col("nn"))
-        wild = (F.col("kids") > max_children) | (rare & (F.col("kids") > 1))
+        wild = rare & (F.col("kids") > 1)
         rate = F.col("ng") / F.nullif(F.col("nl"), F.lit(0))
         spread = F.sqrt(rate * (1 - rate) / F.nullif(F.col("labelled"), F.lit(0)))
         differs = F.coalesce(F.abs(F.col("good") / F.nullif(F.col("labelled"), F.lit(0)) - rate)

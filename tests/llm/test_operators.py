@@ -86,6 +86,18 @@ def test_url_rules_and_templates(spark):
     assert {r["verdict"] for r in judge(pages, empty(labels)).where("rule is null").collect()} == {"allow"}
 
 
+def test_url_heavy_section_among_many_small(spark):
+    from constella.llm.url_templates import judge
+
+    bad = [(i, f"http://shop.io/buy/{i}") for i in range(600)]
+    small = [(1000 + i, f"http://shop.io/s{i % 60}/{i}") for i in range(600)]
+    pages = spark.createDataFrame(bad + small, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in bad + small], "page_id long, good int")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in judge(pages, labels).collect()}
+    assert {got[i] for i, _ in bad} == {("/buy/*", "block")}
+    assert {got[i][1] for i, _ in small} == {"allow"} and {got[i][0][:2] for i, _ in small} == {"/*"}
+
+
 # -------------------------------------------------------- 3 quality classifier
 def test_classifier_held_out(spark):
     from constella.llm.ordinal_quality import classify, select
