@@ -201,7 +201,8 @@ def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, spl
         if pdf.bucket.iloc[0] < 0:  # equal sets, dealt over many groups by their text
             return pd.DataFrame({"sig": 0, "docs": list(pdf.data), "sizes": b"", "rests": b"", "first": 0})
         post = _with_partners(np.concatenate([np.frombuffer(x, POSTING) for x in pdf.data]), threshold)
-        post = post[np.lexsort((post["n"], post["d"], post["t"]))]
+        # sets of one doc_id and size: the one with most left stands for all
+        post = post[np.lexsort((-post["r"].astype(np.int64), post["n"], post["d"], post["t"]))]
         same = (post["t"][1:] == post["t"][:-1]) & (post["d"][1:] == post["d"][:-1]) & (post["n"][1:] == post["n"][:-1])
         post = post[np.r_[True, ~same][:len(post)]]
         start = np.flatnonzero(np.r_[True, (post["t"][1:] != post["t"][:-1])][:len(post)])
@@ -337,36 +338,40 @@ def verify(pairs: DataFrame, docs: DataFrame, tool, order, threshold: int, membe
     def cut(batches):
         shingler, o = tool(), order()
         for b in batches:
-            cols = {k: [] for k in ("lead", "salt", "fragment", "doc_id", "n", "data")}
+            cols = {k: [] for k in ("lead", "salt", "fragment", "doc_id", "set", "n", "data")}
             for i, t, tasks in zip(_ids(b.column("doc_id")), b.column("text").to_pylist(), b.column("tasks").to_pylist()):
                 s = shingler.shingles(t)
                 f = o.fragment(s)
+                own = int(np.frombuffer(_digest8(s.tobytes()), "<i8")[0])
                 for k in np.unique(f).tolist():
                     data = s[f == k].tobytes()
                     for x in tasks:
-                        for c, v in zip(cols.values(), (x["lead"], x["salt"], k, i, len(s), data)):
+                        for c, v in zip(cols.values(), (x["lead"], x["salt"], k, i, own, len(s), data)):
                             c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds)})
 
-    pieces = texts.mapInArrow(cut, "lead long, salt int, fragment int, doc_id long, n long, data binary")
+    pieces = texts.mapInArrow(cut, "lead long, salt int, fragment int, doc_id long, set long, n long, data binary")
     pieces = pieces.withColumn("g", F.pmod(F.xxhash64("lead", "salt"), F.lit(groups)).cast("int"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        # rows of one doc_id with equal sets count once; its other sets are pairs of their own
+        pdf = pdf[~pdf.duplicated(["lead", "salt", "doc_id", "set"])]
         got = []
         for (lead, _), g in _runs(pdf):
-            heads = [np.frombuffer(x, np.uint64) for x in g.data[g.doc_id == lead]]
-            nx = g.n[g.doc_id == lead].tolist()
-            for y, n, data in zip(g.doc_id.tolist(), g.n.tolist(), g.data):
+            first = g[g.doc_id == lead]
+            heads = [(np.frombuffer(h, np.uint64), a, m) for h, a, m in zip(first.data, first["set"].tolist(), first.n.tolist())]
+            for y, b, n, data in zip(g.doc_id.tolist(), g["set"].tolist(), g.n.tolist(), g.data):
                 if y != lead:
                     s = np.frombuffer(data, np.uint64)
-                    for h, m in zip(heads, nx):
+                    for h, a, m in heads:
                         at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                        got.append((lead, y, m, n, int((h[at] == s).sum())))
-        return pd.DataFrame(got, columns=["x", "y", "nx", "ny", "o"]).astype("int64")
+                        got.append((lead, y, a, b, m, n, int((h[at] == s).sum())))
+        return pd.DataFrame(got, columns=["x", "y", "sx", "sy", "nx", "ny", "o"]).astype("int64")
 
-    partial = pieces.groupBy("g", "fragment").applyInPandas(count, "x long, y long, nx long, ny long, o long")
-    both = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("o"))
+    partial = pieces.groupBy("g", "fragment").applyInPandas(
+        count, "x long, y long, sx long, sy long, nx long, ny long, o long")
+    both = partial.groupBy("x", "y", "sx", "sy", "nx", "ny").agg(F.sum("o").alias("o"))
     return both.where(100 * F.col("o") >= threshold * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y").distinct()
 
 

@@ -290,6 +290,29 @@ def test_ngram_join_brute_force(docs, rows, split_at):
     assert near_duplicates(empty(docs)).count() == 0
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows that repeat an id, with equal and with other texts, by brute force."""
+    from constella.llm.ngram_join import near_duplicates
+
+    w = lambda p, n: [f"{p}{k}" for k in range(n)]
+    rare, left, right, far = w("s", 30), w("p", 30), w("q", 30), w("c", 60)
+    texts = [(1, rare + left), (1, rare + left), (2, rare + right), (2, rare + right),  # Jaccard 0.3
+             (3, w("d", 50)), (3, far), (4, far + ["z"]), (5, w("e", 40)), (5, w("e", 40)), (6, w("e", 41))]
+    texts += [(10 + k, left + w(f"l{k}x", 100)) for k in range(6)] + [(30 + k, right + w(f"r{k}x", 100)) for k in range(6)]
+    sets = [(i, {tuple(t[k:k + 5]) for k in range(len(t) - 4)}) for i, t in texts]
+    comp = {i: i for i, _ in sets}
+    for _ in comp:
+        for i, a in sets:
+            for j, b in sets:
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert comp[2] == 2 and comp[4] == 3 and comp[6] == 5
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    for d in (docs.coalesce(1), docs.repartition(4)):
+        got = near_duplicates(d).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == comp and len(got) == len(texts)
+
+
 def test_ngram_join_keeps_partners_within_reach():
     """Every pair that the threshold allows at its first common shingle stays
     within reach of each other; all others of a shingle may leave."""
