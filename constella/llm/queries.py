@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from constella.llm.common import load
+from constella.session import shared_dir
 
 #: Vocabulary files are found through the installed package; the path is a
 #: parameter of the operators.
@@ -50,14 +51,23 @@ def op4_token_counts(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    """Old shards follow the source (uneven); sixteen new ones of equal bytes."""
-    from constella.llm.reshard import plan
+    """Old shards follow the source (uneven); sixteen new ones of equal bytes.
+    Rows of shards that change are read from the files written for them, those
+    of the others stay in the documents table."""
+    from constella.llm.reshard import located, move
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = load(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % SHARDS).cast("int").alias("old_shard"))
-    return plan(sized, SHARDS).select(
+    told = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")),
+            "old_shard": (F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % SHARDS).cast("int")}
+    docs = located(load(spark, sf_dir, "documents"))
+    path = shared_dir(spark, "shards")
+    rows, touched = move(docs.withColumns({k: told[k] for k in ("old_shard", "text_crc32")}), path, SHARDS, carry=("text_crc32",))
+    columns = ["doc_id", *told, "shard", "slot"]
+    rows = rows.select(columns)
+    if touched:
+        written = spark.read.parquet(path).withColumns(told).select(columns)
+        rows = written.unionByName(rows.where(~F.col("shard").isin(touched)))
+    return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

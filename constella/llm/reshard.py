@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from constella.session import cut_lineage
 
+#: Row key of a table read from files.
+ROW = ["__file", "__line"]
+
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
     """Cheapest flow of every supply into demands of the same total, by
@@ -126,16 +129,31 @@ def plan(sized: DataFrame, shards: int, capacities: list[int] | None = None, par
             .drop("__pid", "__row", "__base"))
 
 
-def rewrite(spark, old_path: str, new_path: str, shards: int, **planning) -> DataFrame:
-    """Reads shard directories ``old_path/shard=k`` and writes those that gain
-    or lose documents to ``new_path/shard=k`` in slot order; shards that keep
-    exactly their documents are left where they are. Returns the plan."""
-    docs = spark.read.parquet(old_path).withColumnRenamed("shard", "old_shard")
-    sized = docs.select("doc_id", "old_shard", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+def located(table: DataFrame) -> DataFrame:
+    """A table as read from its files, with the place of each row in them as
+    row key (ROW): doc_ids may be null or repeated, places are neither."""
+    return table.withColumns({"__file": F.col("_metadata.file_path"), "__line": F.col("_metadata.row_index")})
+
+
+def move(docs: DataFrame, new_path: str, shards: int, carry: tuple = (), **planning) -> tuple[DataFrame, list[int]]:
+    """Writes the shards that gain or lose documents to ``new_path/shard=k`` in
+    slot order; shards that keep exactly their documents are left where they
+    are. ``docs``: located documents with old_shard; the columns ``carry`` go
+    through the plan and are not written. Returns the plan and the shards
+    written or emptied."""
+    sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), "old_shard",
+                        *carry, *ROW)
     p = cut_lineage(plan(sized, shards, **planning))
     moved = p.where(F.col("old_shard") != F.col("shard"))
     touched = [r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()]  # shards
-    wanted = p.where(F.col("shard").isin(touched) if touched else F.lit(False)).select("doc_id", "shard", "slot")
-    (docs.drop("old_shard").join(wanted, "doc_id").repartitionByRange("shard", "slot")
+    wanted = p.where(F.col("shard").isin(touched) if touched else F.lit(False)).select(*ROW, "shard", "slot")
+    (docs.drop("old_shard", *carry).join(wanted, ROW).drop(*ROW).repartitionByRange("shard", "slot")
      .sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(new_path))
-    return p
+    return p.drop(*ROW), touched
+
+
+def rewrite(spark, old_path: str, new_path: str, shards: int, **planning) -> DataFrame:
+    """Reads shard directories ``old_path/shard=k`` and moves their documents.
+    Returns the plan."""
+    docs = located(spark.read.parquet(old_path)).withColumnRenamed("shard", "old_shard")
+    return move(docs, new_path, shards, **planning)[0]

@@ -170,6 +170,56 @@ def test_shards(docs, spark, tmp_path):
     assert {r["doc_id"]: r["shard"] for r in out.collect()}.items() <= p.items()
 
 
+def test_rewrite_keeps_every_row(spark, tmp_path):
+    """Null ids, ids with several texts and equal rows."""
+    from constella.llm.reshard import rewrite
+
+    rows = [(i, f"text {i} " * (1 + i % 7), 0) for i in range(60)] + [(None, f"none {i}", i % 2) for i in range(9)]
+    rows += [(5, "another text", 1), (5, "a third", 0), (None, None, 0)] + [(7, "equal", 0)] * 3
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    d.repartition(3).write.partitionBy("shard").parquet(old)
+    p = rewrite(spark, old, new, 4).collect()
+    assert len(p) == len(rows)
+    touched = {s for r in p if r["shard"] != r["old_shard"] for s in (r["shard"], r["old_shard"])}
+    out = spark.read.parquet(new).collect()
+    left = [r for r in rows if r[2] not in touched]
+    assert Counter((r["doc_id"], r["text"]) for r in out) + Counter(r[:2] for r in left) == Counter(r[:2] for r in rows)
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in out) == Counter(
+        (r["doc_id"], r["shard"], r["slot"]) for r in p if r["shard"] in touched)
+    for s in touched:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in p)))
+
+
+def written(spark, name, run):
+    """What ``run`` gives, and the table it wrote to the shared folder."""
+    import glob
+
+    from constella.session import checkpoint_dir
+
+    kind = f"{checkpoint_dir(spark)}/constella/{name}-*"
+    before = set(glob.glob(kind))
+    got = run().collect()
+    new = set(glob.glob(kind)) - before
+    assert len(new) == 1
+    return got, spark.read.parquet(new.pop())
+
+
+def test_op5_writes_the_shards(spark):
+    from constella.llm.queries import op5_sharding
+
+    sf = "/root/testdata/sf0.001"
+    got, files = written(spark, "shards", lambda: op5_sharding(spark, sf))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c")
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter(map(tuple, docs.select("doc_id", crc).collect()))
+    assert set(docs.columns) <= set(files.columns)
+    out = Counter(map(tuple, files.select("doc_id", crc, "shard", "slot").collect()))
+    moved = [r for r in got if r["shard"] != r["old_shard"]]
+    assert moved and all(out[r["doc_id"], r["text_crc32"], r["shard"], r["slot"]] == 1 for r in moved)
+    assert out <= Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in got)
+
+
 # ------------------------------------------------------------- 6 top-k search
 def test_top_k_brute_force(spark):
     from constella.llm.topk_blocks import top_k
