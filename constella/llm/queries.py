@@ -91,10 +91,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def op7_poisson_mix(spark, sf_dir):
+    """The repeated documents are written whole in their global order; the
+    result is read from that table."""
     from constella.llm.poisson_mix import mix
 
-    return mix(load(spark, sf_dir, "documents")).select("doc_id", "source", F.col("copy").cast("int").alias("copy"),
-                                                        "order_key")
+    path = shared_dir(spark, "mix")
+    mix(load(spark, sf_dir, "documents")).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", "source", F.col("copy").cast("int").alias("copy"),
+                                           "order_key").orderBy("order_key")
 
 
 ORACLE["op7_poisson_mix"] = """

@@ -257,6 +257,21 @@ def test_mix_rates_and_repeatability(spark, docs):
     assert set(mix(docs).columns) >= set(docs.columns) and mix(empty(docs)).count() == 0
 
 
+def test_op7_writes_whole_documents(spark):
+    from constella.llm.queries import op7_poisson_mix
+
+    sf = "/root/testdata/sf0.001"
+    got, table = written(spark, "mix", lambda: op7_poisson_mix(spark, sf))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    body = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    out = table.collect()
+    assert all(tuple(r[c] for c in docs.columns) == body[r["doc_id"]] for r in out)
+    assert Counter((r["doc_id"], r["copy"], r["order_key"]) for r in out) == Counter(
+        (r["doc_id"], r["copy"], r["order_key"]) for r in got)
+    keys = [r["order_key"] for r in got]
+    assert keys == sorted(keys)
+
+
 # ------------------------------------------------------------------ 8 byte BPE
 def test_bpe_equals_tiktoken(docs, rows):
     import public_tokenizers as P
