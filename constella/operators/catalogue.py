@@ -34,11 +34,13 @@ def with_parent(datasets: DataFrame) -> DataFrame:
 def chain_depth(datasets: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Number of ancestors of each dataset by pointer jumping: each round
     joins the (id, pointer, hops) table with itself, doubling the reach, so a
-    chain of length L needs log2(L) joins. Lineage is cut every 4 rounds."""
+    chain of length L needs log2(L) joins. Lineage is cut every 4 rounds. A
+    chain that ends in a cycle raises: it outlasts the number of datasets."""
     from constella.session import cut_lineage
 
     cur = datasets.select("dataset_id", F.col("parent_id").alias("ptr"),
                           F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("hops"))
+    n = datasets.count()
     for r in range(max_rounds):
         nxt = cur.alias("a").join(cur.alias("b"), F.col("a.ptr") == F.col("b.dataset_id"), "left").select(
             F.col("a.dataset_id"), F.col("b.ptr").alias("ptr"),
@@ -47,8 +49,10 @@ def chain_depth(datasets: DataFrame, max_rounds: int = 64) -> DataFrame:
         if r % 4 == 3:
             cur = cut_lineage(cur)
         if cur.where(F.col("ptr").isNotNull()).limit(1).count() == 0:
-            break
-    return cur.select("dataset_id", F.col("hops").alias("depth"))
+            return cur.select("dataset_id", F.col("hops").alias("depth"))
+        if 2 ** (r + 1) > n:
+            raise RuntimeError("the parents of some datasets form a cycle")
+    raise RuntimeError(f"chains still open after {max_rounds} rounds; raise max_rounds")
 
 
 # J3

@@ -329,13 +329,25 @@ def _yj_loglik(df: DataFrame, cols: Sequence[str], grids: dict[str, list[float]]
 
 
 def fit_power(df: DataFrame, cols: Sequence[str], lambdas: dict[str, float] | None = None) -> Fitted:
-    """Yeo-Johnson with lambda by maximum likelihood (coarse grid on [-2, 2],
-    then a fine grid around the best), then standardised."""
+    """Yeo-Johnson with lambda by maximum likelihood, then standardised: a
+    coarse grid on [-2, 2], moved and widened twofold while the best lies on
+    its end, then finer grids around the best down to steps of 0.005."""
     if lambdas is None:
-        coarse = [round(-2 + 0.1 * k, 10) for k in range(41)]
-        lam = _yj_loglik(df, cols, {c: coarse for c in cols})
-        fine = {c: [round(lam[c] - 0.1 + 0.005 * k, 10) for k in range(41)] for c in cols}
-        lambdas = _yj_loglik(df, cols, fine)
+        step, lambdas, open_ = {c: 0.1 for c in cols}, {c: 0.0 for c in cols}, list(cols)
+        grid = lambda c: [round(lambdas[c] + step[c] * (k - 20), 10) for k in range(41)]
+        for _ in range(24):
+            grids = {c: grid(c) for c in open_}
+            best = _yj_loglik(df, open_, grids)
+            lambdas |= best
+            open_ = [c for c in open_ if best[c] in (grids[c][0], grids[c][-1])]
+            step |= {c: 2 * step[c] for c in open_}
+            if not open_:
+                break
+        else:
+            raise RuntimeError(f"no lambda of most likelihood found for {open_}")
+        while coarse := [c for c in cols if step[c] > 0.005]:
+            step |= {c: step[c] / 20 for c in coarse}
+            lambdas |= _yj_loglik(df, coarse, {c: grid(c) for c in coarse})
     tmp = Fitted("power", lambdas=dict(lambdas))
     t = tmp.transform(df.select(*cols))
     std = fit_standard(t, cols)

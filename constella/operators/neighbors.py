@@ -106,6 +106,8 @@ def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff
         if last or pending.limit(1).count() == 0:
             break
         limit *= 2.0
+    else:
+        raise RuntimeError(f"neighbours still unresolved after {max_rounds} rounds; raise max_rounds")
     if done is not None:
         # one table with a one-step plan for whatever joins it next (LOF,
         # layouts); the per-round caches are then released

@@ -255,3 +255,34 @@ def test_components_raise_when_not_converged(spark):
     with pytest.raises(RuntimeError):
         connected_components(v, e, max_iter=1)
     assert connected_components(v, e).where("component <> 0").count() == 0
+
+
+def test_power_lambda_beyond_the_first_grid(spark):
+    from constella.operators import clean as C
+
+    y = np.random.default_rng(4).normal(60, 12, 3000)
+    x = (1 + 4 * y) ** 0.25 - 1
+    g = np.log1p(x).sum()
+    ll = lambda k: -len(x) / 2 * np.log(np.var(((x + 1) ** k - 1) / k)) + (k - 1) * g
+    best = max(np.arange(2.5, 8, 0.005), key=ll)
+    assert 2.6 < best < 7.9
+    df = spark.createDataFrame([(float(v),) for v in x], "a double")
+    assert abs(C.fit_power(df, ["a"]).lambdas["a"] - best) < 0.011
+
+
+def test_unfinished_rounds_raise(spark):
+    from constella.operators import catalogue as J
+    from constella.operators import neighbors as N
+
+    chain = [(i, i - 1 if i else None) for i in range(12)]
+    kind = "dataset_id long, parent_id long"
+    got = J.chain_depth(spark.createDataFrame(chain, kind)).collect()
+    assert {r["dataset_id"]: r["depth"] for r in got} == {i: i for i in range(12)}
+    with pytest.raises(RuntimeError, match="cycle"):
+        J.chain_depth(spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 2), (4, None)], kind))
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        J.chain_depth(spark.createDataFrame(chain, kind), max_rounds=2)
+    data = spark.createDataFrame([(i, float(i % 2 * 1000 + i / 100)) for i in range(40)], "row_id long, a double")
+    far = spark.createDataFrame([(100, 500.0)], "row_id long, a double")
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        N.knn_between(far, data, ["a"], 3, max_rounds=1)
