@@ -11,6 +11,7 @@ from constella.session import shared_dir
 #: Vocabulary files are found through the installed package; the path is a
 #: parameter of the operators.
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_BPE_JSON = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SHARDS = 16
 
@@ -163,6 +164,102 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT id, min(r) AS component_id FROM reach GROUP BY 1) c ON c.id = d.doc_id"""
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Rebuilt conversations share the first turns of one of twenty."""
+    from constella.llm.prefix_trie import paths, trie, turn_lists
+
+    folder = shared_dir(spark, "conversations")
+    turn_lists(load(spark, sf_dir, "conversations")).write.parquet(f"{folder}/turns")
+    own = spark.read.parquet(f"{folder}/turns")
+    heads = own.where(F.col("conv_id") % 20 == 0).select(
+        F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    own = own.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 20,
+                           "h": (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")})
+    none = F.slice("turns", 1, 0)
+    rebuilt = own.join(heads, "base", "left").select("conv_id", F.concat(
+        F.slice(F.coalesce(F.col("head"), none), F.lit(1), F.col("h")),
+        F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+    paths(rebuilt).write.parquet(f"{folder}/paths")
+    return trie(spark.read.parquet(f"{folder}/paths"))
+
+
+# DuckDB has no crc32: its table of 256 entries is computed, then applied digit by digit.
+ORACLE["op11_prefix_trie"] = """
+WITH RECURSIVE bits AS (
+  SELECT CAST(range AS BIGINT) AS b, CAST(range AS BIGINT) AS v, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS tab FROM bits WHERE k = 8),
+turns AS (
+  SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS t FROM turns GROUP BY 1),
+h AS (
+  SELECT conv_id, t, xor(list_reduce(list_concat([4294967295],
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, c: xor(a // 256, tab[(xor(a, c) % 256) + 1])), 4294967295) % 4 AS h FROM own, crc),
+rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(own.t[1:h.h], []), h.t[h.h + 1:]) AS t
+  FROM h LEFT JOIN own ON own.conv_id = h.conv_id - h.conv_id % 20),
+member AS (
+  SELECT conv_id, len(t) AS n, d, list_transform(t[1:d], lambda x: x.k) AS p, CASE WHEN d = 0 THEN 0 ELSE t[d].w END AS w
+  FROM rebuilt, unnest(range(0, len(t) + 1)) AS u(d)),
+node AS (
+  SELECT p, CAST(d AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM member GROUP BY p, d),
+kids AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS c FROM node WHERE depth > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(c, 0) AS n_children FROM node LEFT JOIN kids ON kids.p = node.p AND kids.depth = node.depth),
+sums AS (
+  SELECT p[1:a] AS p, a AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens
+  FROM full_node, unnest(range(0, depth + 1)) AS u(a) GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, up.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sums s ON s.p = f.p AND s.depth = f.depth
+LEFT JOIN node up ON f.depth > 0 AND up.depth = f.depth - 1 AND up.p = f.p[1:f.depth - 1]"""
+
+
+def planted_order(doc_id, n):
+    """Word numbers of the texts that the contract makes periodic: one id in
+    ten; None for the others and for a null id."""
+    import zlib
+
+    import numpy as np
+
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    from constella.llm.periodic_runs import find_runs
+
+    return find_runs(load(spark, sf_dir, "documents"), full=False, order=planted_order)
+
+
+def op13_packing(spark, sf_dir):
+    """The sequences are written by length with their ids; the result is read
+    from that table."""
+    import public_tokenizers
+
+    from constella.llm.binary_packing import pack, read_packed
+
+    path = shared_dir(spark, "packed")
+    docs = load(spark, sf_dir, "documents")
+    pack(docs, path, public_tokenizers.path(BYTE_BPE_JSON), public_tokenizers.PATTERN)
+    return read_packed(spark, path, dict(docs.dtypes)["doc_id"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filters, op3_quality_classifier, op4_token_counts, op5_sharding, op6_topk_search,
-    op7_poisson_mix, op8_byte_bpe, op9_suffix_dedup, op10_ngram_join)}
+    op7_poisson_mix, op8_byte_bpe, op9_suffix_dedup, op10_ngram_join, op11_prefix_trie,
+    op12_periodic_runs, op13_packing)}
