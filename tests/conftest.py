@@ -20,6 +20,13 @@ def spark():
     yield s
 
 
+@pytest.fixture(scope="session")
+def sf_small():
+    """Folder of the small tables. A fixture, so that test modules beside other
+    conftest files need no import."""
+    return SF_SMALL
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

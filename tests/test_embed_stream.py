@@ -69,11 +69,9 @@ def test_one_class_svm_flags_share_and_outliers(spark):
 
 
 @pytest.fixture(scope="module")
-def split_events(spark):
+def split_events(spark, sf_small):
     """The sf0.001 events written as one parquet file per day."""
-    from conftest import SF_SMALL
-
-    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
     d = tempfile.mkdtemp(prefix="constella-events-")
     days = [r[0] for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
     for i, day in enumerate(days):

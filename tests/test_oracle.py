@@ -13,10 +13,8 @@ SLOW_ROWS_ONLY = {"c16_select_model_based", "r6_run_analysis", "a1_isolation_for
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
-def test_matches_duckdb(name, spark, duck):
-    from conftest import SF_SMALL
-
-    sdf = QUERIES[name](spark, SF_SMALL)
+def test_matches_duckdb(name, spark, duck, sf_small):
+    sdf = QUERIES[name](spark, sf_small)
     scols, srows = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     r = duck.execute(ORACLE[name])
     dcols, drows = canon([d[0] for d in r.description], r.fetchall())
@@ -26,9 +24,7 @@ def test_matches_duckdb(name, spark, duck):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLE and n not in SLOW_ROWS_ONLY))
-def test_rows_only_runs(name, spark):
-    from conftest import SF_SMALL
-
-    df = QUERIES[name](spark, SF_SMALL)
+def test_rows_only_runs(name, spark, sf_small):
+    df = QUERIES[name](spark, sf_small)
     assert df.count() >= 0
     assert len(df.columns) > 0
