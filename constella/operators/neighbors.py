@@ -2,13 +2,10 @@
 exact k-nearest-neighbour join, DBSCAN, local outlier factor, connected
 components.
 
-No cross join: points are bucketed into grid cells and only rows of
-neighbouring cells meet, through an equi-join on the cell key.
+No cross join: points are bucketed into cells and only rows of near cells
+meet.
 
-* kNN: with cell side r, every point within r of q lies in q's 3^d
-  neighbour cells, so q is *resolved* once it has k candidates within r.
-  Unresolved queries retry with r doubled; exactness does not depend on r,
-  only the amount of work does.
+* kNN: over a cell tree (``celltree``), exact after two passes.
 * DBSCAN: cell side = eps, pairs within eps from neighbour cells; core points
   by neighbour count; clusters = connected components of core points
   (min-label propagation, lineage cut by reliable checkpoints); a border
@@ -19,14 +16,14 @@ neighbouring cells meet, through an equi-join on the cell key.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from constella.functions.ordering import global_row_number
-from constella.session import cut_lineage, stage
+from constella.operators import celltree
+from constella.session import cut_lineage, settle
 
 
 def _q(c: str) -> Column:
@@ -66,76 +63,25 @@ def neighbour_pairs(points: DataFrame, cols: Sequence[str], r: float, id_col: st
                     _dist(cols, "a", "b", weight).alias("dist"))
 
 
-def _initial_radius(points: DataFrame, cols: Sequence[str], k: int) -> tuple[float, float, int]:
-    r = points.agg(F.count(F.lit(1)).alias("n"), *[F.min(_q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
-                   *[F.max(_q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
-    n = r["n"]
-    ext = [max(float(r[f"b{i}"] - r[f"a{i}"]), 1e-12) for i in range(len(cols))]
-    diameter = math.sqrt(sum(e * e for e in ext))
-    vol = math.prod(ext)
-    side = (vol * max(k, 4) / max(n, 1)) ** (1.0 / len(cols))
-    return max(side, diameter * 1e-9), diameter, n
-
-
-def _grid_rounds(pending: DataFrame, data: DataFrame, cols: Sequence[str], k_eff: int, r: float, diameter: float,
-                 id_col: str, done: DataFrame | None, max_rounds: int, weight: float = 1.0) -> DataFrame | None:
-    """Resolve every pending query against ``data``: top-k candidates from
-    the 3^d cells at side r; a query with k candidates within r is exact;
-    the rest retry at 2r. ``weight`` scales squared distances (nan-Euclidean)."""
-    limit = r
-    cached = []
-    for step in range(max_rounds):
-        last = limit >= diameter
-        pairs = neighbour_pairs(data, cols, limit, id_col, queries=pending, weight=weight).where(
-            F.col("qid") != F.col("pid"))
-        w = Window.partitionBy("qid").orderBy("dist", "pid")
-        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_eff)
-        top = stage(top, step)
-        cached.append(top)
-        if last:
-            resolved_ids = pending.select(_q(id_col).alias("qid"))
-        else:
-            reach = limit * math.sqrt(weight)
-            resolved_ids = (top.groupBy("qid").agg(F.count_if(F.col("dist") <= F.lit(reach)).alias("m"))
-                            .where(F.col("m") >= k_eff).select("qid"))
-        got = top.join(resolved_ids, "qid", "left_semi")
-        done = got if done is None else done.unionByName(got)
-        pending = pending.join(resolved_ids.withColumnRenamed("qid", id_col), id_col, "left_anti")
-        pending = stage(pending, step)
-        cached.append(pending)
-        if last or pending.limit(1).count() == 0:
-            break
-        limit *= 2.0
-    else:
-        raise RuntimeError(f"neighbours still unresolved after {max_rounds} rounds; raise max_rounds")
-    if done is not None:
-        # one table with a one-step plan for whatever joins it next (LOF,
-        # layouts); the per-round caches are then released
-        done = cut_lineage(done)
-    for c in cached:
-        c.unpersist()
-    return done
+def _finite(points: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
+    """Rows whose coordinates are numbers: null, NaN and infinite ones have no
+    distance and take no part."""
+    pts = points.select(_q(id_col).cast("long").alias(id_col), *[_q(c).cast("double").alias(c) for c in cols]).dropna()
+    for c in cols:
+        pts = pts.where(F.abs(_q(c)) < float("inf"))
+    return pts
 
 
 def knn_between(queries: DataFrame, data: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
-                weight: float = 1.0, max_rounds: int = 40) -> DataFrame:
-    """Exact k nearest rows of ``data`` for every row of ``queries`` (ties by
-    id), distance sqrt(weight * sum of squares): (row_id, neighbor_id, rank,
-    distance). Heavy duplicate coordinates of ``data`` keep k representatives."""
-    q = queries.select(_q(id_col), *[_q(c) for c in cols]).dropna()
-    d = data.select(_q(id_col), *[_q(c) for c in cols]).dropna()
-    b = q.unionByName(d).agg(*[F.min(_q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
-                             *[F.max(_q(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
-    if b["a0"] is None:
-        return q.limit(0).select(id_col, F.col(id_col).alias("neighbor_id"), F.lit(0).alias("rank"),
-                                 F.lit(0.0).alias("distance"))
-    diameter = math.sqrt(sum(max(float(b[f"b{i}"] - b[f"a{i}"]), 1e-12) ** 2 for i in range(len(cols))))
-    r, _, n = _initial_radius(d, cols, k)
+                weight: float = 1.0) -> DataFrame:
+    """Exact k nearest rows of ``data`` for every row of ``queries`` (equal ids
+    left out, ties by id), distance sqrt(weight * sum of squares): (row_id,
+    neighbor_id, rank, distance). Heavy duplicate coordinates of ``data`` keep
+    k + 1 representatives."""
+    q, d = _finite(queries, cols, id_col), _finite(data, cols, id_col)
     w = Window.partitionBy(*cols).orderBy(id_col)
-    d = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
-    done = _grid_rounds(q, d, cols, k, r, diameter, id_col, None, max_rounds, weight)
-    return done.select(F.col("qid").alias(id_col), F.col("pid").alias("neighbor_id"), F.col("rank").cast("int"),
-                       F.col("dist").alias("distance"))
+    d = d.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k + 1).drop("__r")
+    return celltree.knn(d, cols, k, id_col, queries=q, weight=weight)
 
 
 def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, id_col: str = "row_id") -> DataFrame:
@@ -185,44 +131,32 @@ def impute_knn(df: DataFrame, cols: Sequence[str], k: int = 5, id_col: str = "ro
 
 
 def knn_join(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
-             max_rounds: int = 40) -> DataFrame:
+             cell_rows: int = celltree.CELL_ROWS) -> DataFrame:
     """Exact k nearest neighbours of every point (itself excluded; ties by
-    id): rows (row_id, neighbor_id, rank, distance)."""
-    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
-    r, diameter, n = _initial_radius(pts, cols, k)
-    k_eff = min(k, max(n - 1, 0))
-    # A coordinate held by more than k rows is "heavy": every row there has k
-    # neighbours at distance 0, the smallest ids of the group (ties go by id),
-    # and no other row can use more than its k + 1 smallest ids. So heavy
-    # rows are answered from that short list, and the join side keeps only
-    # those k + 1 representatives: a coordinate holding a third of all rows
-    # costs k + 1 rows, not a third of all rows squared.
+    id): rows (row_id, neighbor_id, rank, distance), over a cell tree.
+
+    A coordinate held by more than k rows is "heavy": every row there has k
+    neighbours at distance 0, the smallest ids of the group (ties go by id),
+    and no other row can use more than its k + 1 smallest ids. So heavy rows
+    are answered from that short list, and the data side keeps only those
+    k + 1 representatives: a coordinate holding a third of all rows costs
+    k + 1 rows, not a third of all rows squared."""
+    pts = _finite(points, cols, id_col)
     heavy_coords = (pts.groupBy(*[_q(c) for c in cols]).agg(F.count(F.lit(1)).alias("__m"))
-                    .where(F.col("__m") > k_eff).select(*cols, F.lit(True).alias("__heavy")))
-    done = None
-    data = pts
-    pending = pts
-    if k_eff > 0 and heavy_coords.limit(1).count() > 0:
-        tagged = pts.join(heavy_coords, list(cols), "left")
-        light = tagged.where(F.col("__heavy").isNull()).select(id_col, *cols)
-        heavy = tagged.where(F.col("__heavy")).select(id_col, *cols)
-        w = Window.partitionBy(*cols).orderBy(id_col)
-        reps = heavy.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k_eff + 1).drop("__r")
-        reps = reps.persist()
-        q, p = heavy.alias("q"), reps.alias("p")
-        same = q.join(p, [F.col(f"q.{c}") == F.col(f"p.{c}") for c in cols]).where(
-            F.col(f"q.{id_col}") != F.col(f"p.{id_col}")).select(
-            F.col(f"q.{id_col}").alias("qid"), F.col(f"p.{id_col}").alias("pid"), F.lit(0.0).alias("dist"))
-        ws = Window.partitionBy("qid").orderBy("pid")
-        done = same.withColumn("rank", F.row_number().over(ws)).where(F.col("rank") <= k_eff)
-        data = light.unionByName(reps)
-        pending = light
-    done = _grid_rounds(pending, data, cols, k_eff, r, diameter, id_col, done, max_rounds)
-    if done is None:
-        return pts.limit(0).select(F.col(id_col), F.col(id_col).alias("neighbor_id"), F.lit(0).alias("rank"),
-                                   F.lit(0.0).alias("distance"))
-    return done.select(F.col("qid").alias(id_col), F.col("pid").alias("neighbor_id"), F.col("rank").cast("int"),
-                       F.col("dist").alias("distance"))
+                    .where(F.col("__m") > k).select(*cols, F.lit(True).alias("__heavy")))
+    if k <= 0 or heavy_coords.limit(1).count() == 0:
+        return settle(celltree.knn(pts, cols, max(k, 0), id_col, cell_rows=cell_rows))
+    tagged = pts.join(heavy_coords, list(cols), "left")
+    light = tagged.where(F.col("__heavy").isNull()).select(id_col, *cols)
+    heavy = tagged.where(F.col("__heavy")).select(id_col, *cols)
+    w = Window.partitionBy(*cols).orderBy(id_col)
+    reps = settle(heavy.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k + 1).drop("__r"))
+    short = reps.groupBy(*[_q(c) for c in cols]).agg(F.sort_array(F.collect_list(id_col)).alias("__ids"))
+    same = heavy.join(short, list(cols)).select(id_col, F.posexplode(F.slice(F.filter(
+        "__ids", lambda x: x != F.col(id_col)), 1, k)).alias("r", "neighbor_id")).select(
+        id_col, "neighbor_id", (F.col("r") + 1).cast("int").alias("rank"), F.lit(0.0).alias("distance"))
+    rest = celltree.knn(light.unionByName(reps), cols, k, id_col, queries=light, cell_rows=cell_rows)
+    return settle(same.unionByName(rest))
 
 
 # ------------------------------------------------------------------ components

@@ -107,5 +107,15 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def settle(df):
+    """Writes a step of a long job to the shared folder and reads it back: the
+    next step starts from a file scan, so neither plans nor the closures of
+    earlier steps travel with its tasks, and a lost executor costs a read."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

@@ -272,7 +272,6 @@ def test_power_lambda_beyond_the_first_grid(spark):
 
 def test_unfinished_rounds_raise(spark):
     from constella.operators import catalogue as J
-    from constella.operators import neighbors as N
 
     chain = [(i, i - 1 if i else None) for i in range(12)]
     kind = "dataset_id long, parent_id long"
@@ -282,7 +281,3 @@ def test_unfinished_rounds_raise(spark):
         J.chain_depth(spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 2), (4, None)], kind))
     with pytest.raises(RuntimeError, match="max_rounds"):
         J.chain_depth(spark.createDataFrame(chain, kind), max_rounds=2)
-    data = spark.createDataFrame([(i, float(i % 2 * 1000 + i / 100)) for i in range(40)], "row_id long, a double")
-    far = spark.createDataFrame([(100, 500.0)], "row_id long, a double")
-    with pytest.raises(RuntimeError, match="max_rounds"):
-        N.knn_between(far, data, ["a"], 3, max_rounds=1)
