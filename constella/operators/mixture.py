@@ -1,10 +1,11 @@
 """Gaussian mixtures (K8) and their criteria (K9).
 
-Full covariance uses ``pyspark.ml.clustering.GaussianMixture``. Diagonal and
-spherical covariances (the reference picks them for small inputs) run EM
-here: the E-step is a column expression (log densities of k components,
-log-sum-exp), the M-step one aggregate of k x (1 + 2d) sums; parameters on
-the driver are bounded by k x d.
+EM runs here for every covariance. The E-step is a column expression (log
+densities of k components, log-sum-exp). Diagonal and spherical covariances
+take their M-step from one aggregate of k x (1 + 2d) sums. Full covariances are
+held as Cholesky factors: each task evaluates them on blocks of rows and adds up
+responsibilities, weighted sums and weighted outer products, one pass an
+iteration; parameters on the driver are bounded by k x d x d.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from constella.functions.moments import moments, sum_over
+
 LOG_2PI = math.log(2 * math.pi)
 
 
@@ -33,9 +36,29 @@ class Mixture:
     covariance: str
     log_likelihood: float | None = None
     n_iter: int = 0
+    covariances: np.ndarray | None = None  # (k, d, d) of a full mixture
+
+    def whitening(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inverse Cholesky factors and the constants of the log densities."""
+        factors = np.linalg.cholesky(self.covariances)
+        inverse = np.linalg.inv(factors)
+        half = np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1)
+        with np.errstate(divide="ignore"):
+            return inverse, np.log(self.weights) - 0.5 * len(self.features) * LOG_2PI - half
 
     def log_densities(self) -> list[Column]:
         out = []
+        if self.covariances is not None:
+            inverse, constant = self.whitening()
+            for j in range(len(self.weights)):
+                off = [_q(c) - F.lit(float(m)) for c, m in zip(self.features, self.means[j])]
+                axes = []
+                for i in range(len(off)):
+                    terms = [off[a] * F.lit(float(inverse[j, i, a])) for a in range(i + 1)]
+                    axis = sum(terms[1:], terms[0])
+                    axes.append(axis * axis)
+                out.append(F.lit(float(constant[j])) - 0.5 * sum(axes[1:], axes[0]))
+            return out
         for j in range(len(self.weights)):
             terms = [((_q(c) - F.lit(float(self.means[j, i]))) ** 2) / F.lit(float(self.variances[j, i]))
                      for i, c in enumerate(self.features)]
@@ -96,7 +119,7 @@ def _initial(df: DataFrame, cols: Sequence[str], k: int, seed: int) -> Mixture:
 def gaussian_mixture(df: DataFrame, cols: Sequence[str], k: int = 3, covariance: str = "auto",
                      max_iter: int = 100, tol: float = 1e-3, seed: int = 42) -> Mixture:
     """EM for diag / spherical; ``auto`` picks spherical under 100 rows, diag
-    under 500, else full (Spark ML). The log-likelihood never decreases."""
+    under 500, else full. The log-likelihood never decreases."""
     cols = list(cols)
     data = df.select(*cols).dropna().persist()
     n = data.count()
@@ -118,23 +141,51 @@ def gaussian_mixture(df: DataFrame, cols: Sequence[str], k: int = 3, covariance:
     return mix
 
 
-def _full(data: DataFrame, cols, k, max_iter, tol, seed) -> Mixture:
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    v = VectorAssembler(inputCols=cols, outputCol="__f").transform(data)
-    m = GaussianMixture(k=k, maxIter=max_iter, tol=tol, seed=seed, featuresCol="__f").fit(v)
-    g = m.gaussians
-    means = np.array([x.mean.toArray() for x in g])
-    var = np.array([np.diag(x.cov.toArray()) for x in g])
-    mix = Mixture(cols, np.array(m.weights), means, var, "full",
-                  log_likelihood=float(m.summary.logLikelihood), n_iter=m.summary.numIter)
+def _full(data: DataFrame, cols, k, max_iter, tol, seed, reg: float = 1e-6) -> Mixture:
+    """EM with full covariances from k-means centres and the pooled covariance.
+    The log-likelihood, criteria and E-step all belong to the mixture that is
+    returned."""
+    n, _, squares = moments(data, cols)
+    mix = _initial(data, cols, k, seed)
+    d = len(cols)
+    ridge = reg * np.eye(d)
+    mix.covariance = "full"
+    mix.covariances = np.repeat((squares / max(n, 1) + ridge)[None], k, axis=0)
+    before, steps = None, 0
+    while True:
+        means, weights = mix.means, mix.weights
+        inverse, constant = mix.whitening()
+
+        def sums(x):
+            logs = np.stack([constant[j] - 0.5 * (((x - means[j]) @ inverse[j].T) ** 2).sum(1) for j in range(k)], 1)
+            top = logs.max(1, keepdims=True) if len(x) else np.zeros((0, 1))
+            total = np.log(np.exp(logs - top).sum(1)) + top[:, 0]
+            share = np.exp(logs - total[:, None])
+            parts = [np.array([total.sum()]), share.sum(0)]
+            for j in range(k):
+                off = x - means[j]
+                weighted = off * share[:, j, None]
+                parts += [weighted.sum(0), (weighted.T @ off).ravel()]
+            return np.concatenate(parts)
+
+        total = sum_over(data, cols, sums)
+        mix.log_likelihood, mix.n_iter = float(total[0]), steps
+        done = before is not None and abs(mix.log_likelihood - before) / max(n, 1) < tol
+        if done or steps >= max_iter:
+            break
+        before, steps = mix.log_likelihood, steps + 1
+        size = np.maximum(total[1:1 + k], 1e-12)
+        block = total[1 + k:].reshape(k, d + d * d)
+        drift = block[:, :d] / size[:, None]
+        spread = block[:, d:].reshape(k, d, d) / size[:, None, None] - drift[:, :, None] * drift[:, None, :]
+        mix = Mixture(list(cols), size / size.sum(), means + drift, np.zeros((k, d)), "full", covariances=spread + ridge)
+    mix.variances = np.diagonal(mix.covariances, axis1=1, axis2=2).copy()
     return mix
 
 
 def criteria(df: DataFrame, mix: Mixture) -> DataFrame:
     """K9: log-likelihood, AIC, BIC and the mean / min of each row's largest
-    membership probability, for a diagonal / spherical mixture."""
+    membership probability."""
     k, d = mix.means.shape
     per_comp = d if mix.covariance in ("diag", "full") else 1
     if mix.covariance == "full":
@@ -149,14 +200,20 @@ def criteria(df: DataFrame, mix: Mixture) -> DataFrame:
                     F.col("mp").alias("mean_max_prob"), F.col("mn").alias("min_max_prob"))
 
 
-def from_labels(df: DataFrame, cols: Sequence[str], label: str) -> Mixture:
-    """A diagonal mixture whose components are the label groups (weights =
-    shares, means, population variances): a deterministic parameter set."""
-    rows = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(_q(c)).alias(f"m{i}") for i, c in
-                                                                   enumerate(cols)],
-                                  *[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)])
-            .orderBy(label).collect())
+def from_labels(df: DataFrame, cols: Sequence[str], label: str, covariance: str = "diag") -> Mixture:
+    """A mixture whose components are the label groups (weights = shares,
+    means, population variances or covariances): a deterministic parameter set."""
+    d = len(cols)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    rows = (df.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.covar_pop(_q(cols[i]), _q(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).orderBy(label).collect())
     n = sum(r["n"] for r in rows)
+    spread = np.zeros((len(rows), d, d))
+    for g, r in enumerate(rows):
+        for i, j in pairs:
+            spread[g, i, j] = spread[g, j, i] = r[f"c{i}_{j}"]
     return Mixture(list(cols), np.array([r["n"] / n for r in rows]),
-                   np.array([[r[f"m{i}"] for i in range(len(cols))] for r in rows]),
-                   np.array([[r[f"v{i}"] for i in range(len(cols))] for r in rows]), "diag")
+                   np.array([[r[f"m{i}"] for i in range(d)] for r in rows]),
+                   np.diagonal(spread, axis1=1, axis2=2).copy(), covariance,
+                   covariances=spread if covariance == "full" else None)

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from constella.functions.moments import moments
+
 AXES = ("x", "y", "z")
 
 
@@ -64,12 +66,19 @@ class PCAModel:
         return df.select(*[_q(c) for c in keep if c in df.columns], *coords)
 
 
+#: beyond this many columns the products are summed in blocks, not as columns
+WIDE_COLUMNS = 16
+
+
 def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """Mean vector, sample covariance and row count in one distributed pass
     (rows with a null feature are left out, as a model fit requires)."""
     cols = list(cols)
     d = len(cols)
     clean = df.dropna(subset=cols)
+    if d > WIDE_COLUMNS:
+        n, mean, squares = moments(clean, cols)
+        return mean, squares / max(n - 1, 1), n
     aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]
     for i in range(d):
         for j in range(i, d):

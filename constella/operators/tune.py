@@ -130,6 +130,14 @@ def fit_clustering(df: DataFrame, cols: Sequence[str], algorithm: str, params: d
             raise ValueError("only the euclidean metric is supported")
         lab = N.dbscan(df, cols, float(params["eps"]), int(params["min_samples"]), id_col)
         return df.select(id_col, *cols).join(lab.select(id_col, "cluster"), id_col)
+    if algorithm == "hdbscan":
+        from constella.operators import density as DN
+
+        # alpha scales all distances alike, so it divides the selection distance
+        alpha = float(params.get("alpha", 1.0))
+        lab = DN.hdbscan(df, cols, int(params["min_cluster_size"]), None,
+                         float(params.get("cluster_selection_epsilon", 0.0)) * alpha, id_col).labels
+        return df.select(id_col, *cols).join(lab.select(id_col, "cluster"), id_col)
     raise ValueError(f"no tuner for {algorithm}")
 
 

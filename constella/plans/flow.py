@@ -151,7 +151,11 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
             mix = MX.gaussian_mixture(coords, xyz, cfg.n_clusters, opts.get("covariance", "auto"))
             lab = mix.e_step(coords.select(id_col, *xyz)).select(id_col, "cluster")
         else:
-            raise ValueError("hdbscan: only core distances and mutual reachability are available (K6)")
+            from constella.operators import density as DN
+
+            found = DN.hdbscan(coords, xyz, opts.get("min_cluster_size", 5), opts.get("min_samples"),
+                               opts.get("cluster_selection_epsilon", 0.0), id_col)
+            lab = found.labels
         coords = coords.join(lab.select(id_col, "cluster"), id_col)
     else:
         raise ValueError(f"unsupported clustering method {cfg.clustering!r}")
@@ -212,6 +216,17 @@ def stage_pipeline(df: DataFrame, cols: Sequence[str], stages: Sequence[tuple[st
             elif algo == "agglomerative":
                 lab = H.agglomerative(cur, feats, params.get("k", 3), params.get("linkage", "ward"), id_col=id_col)
                 labels = cur.join(lab, id_col)
+            elif algo == "hdbscan":
+                from constella.operators import density as DN
+
+                lab = DN.hdbscan(cur, feats, params.get("min_cluster_size", 5), params.get("min_samples"),
+                                 params.get("cluster_selection_epsilon", 0.0), id_col).labels
+                labels = cur.join(lab, id_col)
+            elif algo == "gaussian_mixture":
+                from constella.operators import mixture as MX
+
+                mix = MX.gaussian_mixture(cur, feats, params.get("k", 3), params.get("covariance", "auto"))
+                labels = mix.e_step(cur.select(id_col, *feats))
             else:
                 raise ValueError(f"unknown clusterer {algo}")
             labels = labels.select(id_col, "cluster").persist()

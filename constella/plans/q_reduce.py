@@ -110,3 +110,17 @@ def d1_pca_lineitem(spark, sf):
     coords, _ = D.pca(df, FEATS, 3)
     return coords
 
+
+
+@register("d1_covariance_wide",
+          "WITH v AS (SELECT embedding AS e FROM embeddings), p AS (SELECT i, j FROM range(1, 65) a(i), range(1, 65) b(j) WHERE i <= j) "
+          "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
+          f"{R('covar_samp(CAST(e[i] AS DOUBLE), CAST(e[j] AS DOUBLE))')} AS covariance FROM v, p GROUP BY i, j")
+def d1_covariance_wide(spark, sf):
+    """Covariance of all 64 embedding coordinates, from block sums."""
+    from constella.tables import WIDE, embedding_points
+
+    _, cov, _ = D.covariance(embedding_points(spark, sf), WIDE)
+    rows = [(i + 1, j + 1, float(cov[i, j])) for i in range(64) for j in range(i, 64)]
+    df = spark.createDataFrame(rows, "i int, j int, covariance double")
+    return df.withColumn("covariance", round_to("covariance"))

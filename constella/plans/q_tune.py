@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from constella.functions.numeric import round_sql as R
 from constella.functions.numeric import round_to
+from constella.operators import density as DN
 from constella.operators import hierarchy as H
 from constella.operators import mixture as MX
 from constella.operators import tune as O
 from constella.plans.registry import register
 from constella.tables import NUMERIC_FEATURES as FEATS
-from constella.tables import features, load, points3d, with_fixtures
+from constella.tables import WIDE, embedding_points, features, load, points3d, with_fixtures
 
 XYZ = ["x", "y", "z"]
 
@@ -47,6 +48,39 @@ def k6_mutual_reachability(spark, sf):
     return m.select("a", "b", round_to("mutual_reachability").alias("mutual_reachability"))
 
 
+@register("k6_spanning_tree", with_fixtures(
+    "WITH RECURSIVE dist AS (SELECT a.row_id AS i, b.row_id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + "
+    "(a.z - b.z) * (a.z - b.z)) AS d FROM points3d a JOIN points3d b ON a.row_id <> b.row_id), "
+    "core AS (SELECT i, max(d) AS c FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS r FROM dist) WHERE r <= 4 GROUP BY i), "
+    "w AS (SELECT dist.i, dist.j, greatest(d, a.c, b.c) AS w FROM dist JOIN core a ON a.i = dist.i JOIN core b ON b.i = dist.j), "
+    "prim AS (SELECT 1 AS step, j AS node, w AS best FROM w WHERE i = (SELECT min(row_id) FROM points3d) UNION ALL "
+    "SELECT p.step + 1, p.node, least(p.best, w.w) FROM (SELECT *, first_value(node) OVER (ORDER BY best, node) AS pick FROM prim) p "
+    "JOIN w ON w.i = p.pick AND w.j = p.node WHERE p.node <> p.pick), "
+    "tree AS (SELECT step, min(best) AS weight FROM prim GROUP BY step) "
+    f"SELECT row_number() OVER (ORDER BY weight) AS position, {R('weight')} AS weight FROM tree", "points3d"))
+def k6_spanning_tree(spark, sf):
+    """Weights of the exact spanning tree of mutual reachability, ascending."""
+    from constella.functions.ordering import global_row_number
+
+    pts = points3d(spark, sf)
+    core = H.core_distances(pts, XYZ, min_samples=5)
+    vertices = pts.join(core, "row_id").select(F.col("row_id").alias("id"), *XYZ, F.col("core_distance").alias("core"))
+    tree = DN.spanning_tree(vertices, XYZ)
+    return global_row_number(tree, ["weight", "a", "b"], "position").select("position", round_to("weight").alias("weight"))
+
+
+@register("k6_hdbscan")
+def k6_hdbscan(spark, sf):
+    """Labels, probabilities and persistence on the three leading axes of all
+    embedding coordinates (equal to a plain version in tests/test_density.py)."""
+    from constella.operators import reduce as D
+
+    coords, _ = D.pca(embedding_points(spark, sf), WIDE, 3)
+    out = DN.hdbscan(coords, XYZ, min_cluster_size=15, min_samples=5)
+    return out.labels.join(out.clusters.select("cluster", "size", "persistence"), "cluster", "left").select(
+        "row_id", "cluster", round_to("probability").alias("probability"), "size", round_to("persistence").alias("persistence"))
+
+
 @register("k7_single_linkage", with_fixtures(
     "WITH RECURSIVE e AS (SELECT a.row_id AS src, b.row_id AS dst FROM points3d a, points3d b WHERE a.row_id <> "
     "b.row_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.05), "
@@ -113,6 +147,35 @@ def k9_mixture_criteria(spark, sf):
                     round_to("min_max_prob").alias("min_max_prob"))
 
 
+@register("k8_gaussian_mixture_full")
+def k8_gaussian_mixture_full(spark, sf):
+    """EM with full covariances, 4 components (compared with a plain version in
+    tests/test_moments.py)."""
+    pts = points3d(spark, sf)
+    mix = MX.gaussian_mixture(pts, XYZ, k=4, covariance="full", max_iter=50)
+    return mix.e_step(pts).select("row_id", "cluster", "max_prob")
+
+
+@register("k9_full_criteria", with_fixtures(
+    "WITH c AS (SELECT label, count(*) / (SELECT count(*) FROM points3d) AS w, avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, "
+    "covar_pop(x, y) AS b, var_pop(y) AS c FROM points3d GROUP BY label), "
+    "l AS (SELECT p.row_id, ln(c.w) - ln(2 * pi()) - 0.5 * ln(c.a * c.c - c.b * c.b) - 0.5 * (c.c * (p.x - c.mx) * (p.x - c.mx) - "
+    "2 * c.b * (p.x - c.mx) * (p.y - c.my) + c.a * (p.y - c.my) * (p.y - c.my)) / (c.a * c.c - c.b * c.b) AS ld FROM points3d p, c), "
+    "m AS (SELECT row_id, max(ld) AS mx FROM l GROUP BY row_id), "
+    "r AS (SELECT l.row_id, max(m.mx) + ln(sum(exp(l.ld - m.mx))) AS ll, 1 / sum(exp(l.ld - m.mx)) AS p FROM l JOIN m USING (row_id) "
+    "GROUP BY l.row_id) "
+    f"SELECT {R('sum(ll)', 4)} AS log_likelihood, {R('2.0 * (9 + 10 * 2 + 10 * 3) - 2 * sum(ll)', 4)} AS aic, "
+    f"{R('(9 + 10 * 2 + 10 * 3) * ln(count(*)) - 2 * sum(ll)', 4)} AS bic, {R('avg(p)')} AS mean_max_prob, "
+    f"{R('min(p)')} AS min_max_prob FROM r", "points3d"))
+def k9_full_criteria(spark, sf):
+    """Criteria of the full-covariance mixture of the label groups on x and y."""
+    pts = points3d(spark, sf)
+    c = MX.criteria(pts, MX.from_labels(pts, ["x", "y"], "label", "full"))
+    return c.select(round_to("log_likelihood", 4).alias("log_likelihood"), round_to("aic", 4).alias("aic"),
+                    round_to("bic", 4).alias("bic"), round_to("mean_max_prob").alias("mean_max_prob"),
+                    round_to("min_max_prob").alias("min_max_prob"))
+
+
 # ------------------------------------------------------------------ O1-O8
 def _kmeans_grid(spark, sf):
     n = points3d(spark, sf).count()

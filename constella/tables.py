@@ -83,6 +83,17 @@ POINTS3D_SQL = ("SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS x, CAS
                 "CAST(embedding[3] AS DOUBLE) AS z, label FROM embeddings")
 
 
+#: every embedding coordinate as a column
+WIDE = [f"e{i}" for i in range(1, 65)]
+
+
+def embedding_points(spark, sf_dir) -> DataFrame:
+    """All 64 coordinates of every embedding."""
+    e = load(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), *[F.element_at("embedding", i + 1).cast("double").alias(c)
+                                                       for i, c in enumerate(WIDE)], "label")
+
+
 # ------------------------------------------------------------ catalogue tables
 # The test data has no catalogue; users, datasets, sessions and visualisations
 # are derived from customer, orders, events and lineitem by fixed rules.
