@@ -70,7 +70,7 @@ def _exact_quantiles(src: DataFrame, cols, probs, counts):
             a = resolved[(c, lo)]
             if lo + 1 < n and h > lo:
                 b = resolved[(c, lo + 1)]
-                out[(c, p)] = a + (h - lo) * (b - a)
+                out[(c, p)] = a if a == b else a + (h - lo) * (b - a)
             else:
                 out[(c, p)] = a
     return out
@@ -90,14 +90,24 @@ def _order_statistics(src: DataFrame, wanted, counts) -> dict[tuple[str, int], f
     if not wanted:
         return {}
     cols = sorted({c for c, _ in wanted})
-    mm = src.agg(*[F.min(F.col(f"`{c}`")).alias(f"mn{i}") for i, c in enumerate(cols)],
-                 *[F.max(F.col(f"`{c}`")).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
-    # state per target: [col, rank, lo, hi, below, n_in]
+    # infinite values are counted as the first and last ranks; intervals hold
+    # finite values only
+    inside = {c: F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")) for c in cols}
+    mm = src.agg(*[F.min(inside[c]).alias(f"mn{i}") for i, c in enumerate(cols)],
+                 *[F.max(inside[c]).alias(f"mx{i}") for i, c in enumerate(cols)],
+                 *[F.count_if(F.col(f"`{c}`") == float("-inf")).alias(f"lo{i}") for i, c in enumerate(cols)],
+                 *[F.count(inside[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    # state per target: [lo, hi, below, n_in]
     state = {}
+    done: dict[tuple[str, int], float] = {}
     for c, r in wanted:
         i = cols.index(c)
-        state[(c, r)] = [mm[f"mn{i}"], mm[f"mx{i}"], 0, counts[c]]
-    done: dict[tuple[str, int], float] = {}
+        if r < mm[f"lo{i}"]:
+            done[(c, r)] = float("-inf")
+        elif r >= mm[f"lo{i}"] + mm[f"n{i}"]:
+            done[(c, r)] = float("inf")
+        else:
+            state[(c, r)] = [mm[f"mn{i}"], mm[f"mx{i}"], mm[f"lo{i}"], mm[f"n{i}"]]
     for _ in range(64):
         open_t = {}
         for key, (lo, hi, below, n_in) in state.items():

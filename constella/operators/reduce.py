@@ -50,7 +50,13 @@ class PCAModel:
 
     def coordinate(self, k: int) -> Column:
         expr = F.lit(0.0)
-        for j, f in enumerate(self.features):
+        if len(self.features) > WIDE_COLUMNS:  # one array expression, not hundreds of terms
+            def numbers(values):
+                return F.array(*[F.lit(float(v)) for v in values])
+
+            off = F.zip_with(F.array(*[_q(f) for f in self.features]), numbers(self.mean), lambda x, m: x - m)
+            expr = F.aggregate(F.zip_with(off, numbers(self.components[k]), lambda x, w: x * w), expr, lambda a, x: a + x)
+        for j, f in enumerate(self.features if len(self.features) <= WIDE_COLUMNS else []):
             w = float(self.components[k, j])
             if w != 0.0:
                 expr = expr + (_q(f) - F.lit(float(self.mean[j]))) * F.lit(w)

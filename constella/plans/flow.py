@@ -146,7 +146,8 @@ def run_analysis(df: DataFrame, cols: Sequence[str], cfg: AnalysisConfig = Analy
         if cfg.clustering == "dbscan":
             lab = N.dbscan(coords, xyz, opts.get("eps", 0.5), opts.get("min_samples", 5), id_col)
         elif cfg.clustering == "agglomerative":
-            lab = H.agglomerative(coords, xyz, cfg.n_clusters, opts.get("linkage", "ward"), id_col=id_col)
+            lab = H.agglomerative(coords, xyz, cfg.n_clusters, opts.get("linkage", "ward"),
+                                  opts.get("distance_threshold"), id_col=id_col)
         elif cfg.clustering == "gaussian_mixture":
             mix = MX.gaussian_mixture(coords, xyz, cfg.n_clusters, opts.get("covariance", "auto"))
             lab = mix.e_step(coords.select(id_col, *xyz)).select(id_col, "cluster")
@@ -214,7 +215,8 @@ def stage_pipeline(df: DataFrame, cols: Sequence[str], stages: Sequence[tuple[st
                 lab = N.dbscan(cur, feats, params.get("eps", 0.5), params.get("min_samples", 5), id_col)
                 labels = cur.join(lab.select(id_col, "cluster"), id_col)
             elif algo == "agglomerative":
-                lab = H.agglomerative(cur, feats, params.get("k", 3), params.get("linkage", "ward"), id_col=id_col)
+                lab = H.agglomerative(cur, feats, params.get("k", 3), params.get("linkage", "ward"),
+                                      params.get("distance_threshold"), id_col=id_col)
                 labels = cur.join(lab, id_col)
             elif algo == "hdbscan":
                 from constella.operators import density as DN
