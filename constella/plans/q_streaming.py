@@ -10,6 +10,7 @@ from constella.functions.numeric import round_sql as R
 from constella.functions.numeric import round_to
 from constella.plans.registry import register
 from constella.streaming import operators as T
+from constella.streaming import ordered as O
 from constella.tables import load
 
 
@@ -120,3 +121,84 @@ def t7_request_latency(spark, sf):
 @register("t7_request_latency_stream")
 def t7_request_latency_stream(spark, sf):
     return T.run_available_now(T.request_latency(_stream(spark, sf)), "t7", "append")
+
+
+# ---------------------------------------------- streams equal to their batch twins
+def _requests(stream):
+    return T.requests(stream).where("event_id IS NOT NULL OR ts >= '2200-01-01'")
+
+
+_LIMIT = ("WITH RECURSIVE r AS (SELECT event_id, ts, '10.0.' || CAST(user_id % 16 AS VARCHAR) AS ip, event_type AS agent, "
+          "row_number() OVER (PARTITION BY user_id % 16, event_type ORDER BY ts, event_id) AS k FROM events), "
+          "w AS (SELECT event_id, ts, ip, agent, k, ts AS window_start, 1 AS seen FROM r WHERE k = 1 UNION ALL "
+          "SELECT r.event_id, r.ts, r.ip, r.agent, r.k, CASE WHEN r.ts >= w.window_start + INTERVAL 6 HOUR THEN r.ts ELSE w.window_start END, "
+          "CASE WHEN r.ts >= w.window_start + INTERVAL 6 HOUR THEN 1 ELSE w.seen + 1 END "
+          "FROM w JOIN r ON r.ip = w.ip AND r.agent = w.agent AND r.k = w.k + 1) "
+          "SELECT event_id, ip, agent, window_start, seen <= 2 AS allowed FROM w")
+
+
+@register("t2_rate_limit_in_order", _LIMIT)
+def t2_rate_limit_in_order(spark, sf):
+    """The exact limiter (2 requests in 6 hours from the first) as a stream."""
+    return O.run_to_end(_stream(spark, sf), lambda s: O.rate_limit(_requests(s), 2, 6 * 3600), "t2-order")
+
+
+@register("t3_stale_connections_to_end",
+          "WITH e AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= "
+          "INTERVAL 120 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, "
+          "event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED "
+          "PRECEDING) AS sid FROM e) SELECT user_id, min(ts) AS opened_at, max(ts) + INTERVAL 120 SECOND AS "
+          "closed_at, count(*) AS pings FROM s GROUP BY user_id, sid")
+def t3_stale_connections_to_end(spark, sf):
+    return O.run_to_end(_stream(spark, sf), lambda s: T.stale_connections(s.select("user_id", "ts")), "t3-end")
+
+
+@register("t4_connection_stats_exact_stream",
+          "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS total_connections, count(*) FILTER "
+          "(WHERE user_id % 3 <> 0) AS authenticated, count(*) FILTER (WHERE user_id % 3 = 0) AS anonymous, "
+          "count(DISTINCT CASE WHEN user_id % 3 <> 0 THEN user_id END) AS unique_users, count(DISTINCT event_type) "
+          "AS rooms FROM events GROUP BY 1")
+def t4_connection_stats_exact_stream(spark, sf):
+    return O.run_to_end(_stream(spark, sf), O.connection_stats, "t4-end")
+
+
+_ROOMS = ("WITH a AS (SELECT user_id, ts, event_id, event_type = 'signup' AS joins, lead(ts) OVER w AS nts, lead(event_id) OVER w AS nid "
+          "FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+          "SELECT e.event_id, e.user_id % 25 AS room, a.user_id AS watcher_id FROM events e JOIN a ON a.user_id % 25 = e.user_id % 25 "
+          "AND a.joins AND (a.ts < e.ts OR (a.ts = e.ts AND a.event_id < e.event_id)) AND (a.nts IS NULL OR e.ts < a.nts OR "
+          "(e.ts = a.nts AND e.event_id < a.nid)) WHERE e.event_type NOT IN ('signup', 'error')")
+
+
+def _rooms(events):
+    """signup joins the room, error leaves it, all else is a message to it."""
+    room = (F.col("user_id") % 25).cast("long").alias("room")
+    acts = F.col("event_type").isin("signup", "error")
+    return (events.where(acts | F.col("event_type").isNull()).select(
+        "event_id", "ts", room, F.col("user_id").alias("watcher_id"), (F.col("event_type") == "signup").alias("joins")),
+        events.where(~acts | F.col("event_type").isNull()).select("event_id", "ts", room))
+
+
+@register("t5_room_deliveries", _ROOMS)
+def t5_room_deliveries(spark, sf):
+    return O.room_deliveries_batch(*_rooms(_events(spark, sf)))
+
+
+@register("t5_room_deliveries_stream", _ROOMS)
+def t5_room_deliveries_stream(spark, sf):
+    return O.run_to_end(_stream(spark, sf), lambda s: O.room_deliveries(*_rooms(s)), "t5-rooms")
+
+
+@register("t6_stage_durations_in_order",
+          "WITH d AS (SELECT user_id AS dataset_id, event_id, event_type AS stage, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER "
+          "(PARTITION BY user_id ORDER BY ts, event_id))) / 1e6 AS s FROM events) SELECT dataset_id, event_id, stage, ts, "
+          "CASE WHEN s <= 43200 THEN s END AS seconds_since_previous FROM d")
+def t6_stage_durations_in_order(spark, sf):
+    return O.run_to_end(_stream(spark, sf), lambda s: O.stage_durations(s, 43_200), "t6-order")
+
+
+@register("t7_request_latency_to_end",
+          f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS requests, {R('avg(value)')} AS "
+          "mean_latency, max(value) AS max_latency, quantile_disc(value, 0.5) AS median_latency FROM events GROUP BY 1")
+def t7_request_latency_to_end(spark, sf):
+    r = O.run_to_end(_stream(spark, sf), T.request_latency, "t7-end")
+    return r.select("window_start", "requests", round_to("mean_latency").alias("mean_latency"), "max_latency", "median_latency")
