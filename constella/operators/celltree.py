@@ -290,13 +290,16 @@ def knn(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
                              data["id"].to_numpy(), k, ask["bound"].to_numpy(float))
         return ask, found, far
 
+    def objects(rows, index):  # also for no rows
+        return pd.Series(list(rows), index=index, dtype=object)
+
     named = "id long, neighbors array<long>, distances array<double>"
     coords = ", ".join(f"`{c}` double" for c in cols)
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
         ask, found, far = answer(frame)
         out = ask[["id", *cols, "cell"]].copy()
-        out["neighbors"], out["distances"] = list(found), list(far)
+        out["neighbors"], out["distances"] = objects(found, out.index), objects(far, out.index)
         return out
 
     one = both.groupBy("cell").applyInPandas(first, f"id long, {coords}, cell int, neighbors array<long>, distances array<double>")
@@ -341,7 +344,7 @@ def knn(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
 
         def second(frame: pd.DataFrame) -> pd.DataFrame:
             ask, found, far = answer(frame)
-            return pd.DataFrame({"id": ask["id"], "neighbors": list(found), "distances": list(far)})
+            return pd.DataFrame({"id": ask["id"], "neighbors": objects(found, ask.index), "distances": objects(far, ask.index)})
 
         two = spread.unionByName(copies).groupBy("cell", "share").applyInPandas(second, named)
         answers = one.select("id", "neighbors", "distances").unionByName(two)
@@ -354,3 +357,140 @@ def knn(points: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",
     return found.select(F.col("id").alias(id_col), F.posexplode("p").alias("r", "p")).select(
         id_col, F.col("p.n").alias("neighbor_id"), (F.col("r") + 1).cast("int").alias("rank"),
         (F.col("p.d") * float(np.sqrt(weight))).alias("distance"))
+
+
+# ------------------------------------------------- density on a grid, in a task
+PAIRS = 2_000_000  # row pairs that are compared at once
+
+
+class grid_cells:
+    """Weighted points on a grid of side eps / sqrt(d): points of one grid cell
+    are all within eps of each other. A cell with ``least`` rows is core without
+    a comparison; only rows of the others count their neighbours. Two cells are
+    compared until one pair of core rows links them."""
+
+    def __init__(self, points: np.ndarray, weight: np.ndarray, eps: float, least: int):
+        self.points, self.weight, self.eps, self.least = points, weight, eps, least
+        n, d = points.shape
+        side = eps / np.sqrt(d) * (1 - 1e-9)
+        keys = np.floor((points - points.min(0)) / side) if eps > 0 else points
+        cells, self.cell = np.unique(keys, axis=0, return_inverse=True)
+        self.cell = self.cell.ravel()
+        self.order = np.argsort(self.cell, kind="stable")
+        self.start = np.searchsorted(self.cell[self.order], np.arange(len(cells) + 1))
+        self.size = np.bincount(self.cell, weight, len(cells))
+        self.pairs = self._near(cells, d) if eps > 0 else np.zeros((0, 2), np.int64)
+
+    def _near(self, cells: np.ndarray, d: int) -> np.ndarray:
+        """Pairs (a < b) of cells that can hold points within eps."""
+        tree = Leaves(cells, 64)
+        out, limit = [], np.sqrt(d) * (1 + 1e-6)
+        for a, b in tree.slices:
+            x = tree.points[a:b]
+            # distance of two cells counts the steps between their near sides
+            gap = np.maximum(np.maximum(tree.low - x.max(0), x.min(0) - tree.high) - 1, 0)
+            for leaf in np.flatnonzero(np.sqrt((gap ** 2).sum(1)) <= limit):
+                u, v = tree.slices[leaf]
+                y = tree.points[u:v]
+                d2 = np.zeros((b - a, v - u))
+                for i in range(d):
+                    d2 += np.maximum(np.abs(x[:, None, i] - y[None, :, i]) - 1, 0) ** 2
+                p, q = np.nonzero(d2 <= limit * limit)
+                p, q = tree.order[a + p], tree.order[u + q]
+                out.append(np.stack([p[p < q], q[p < q]], 1))
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+    def rows(self, cell: int) -> np.ndarray:
+        return self.order[self.start[cell]:self.start[cell + 1]]
+
+    def _row_pairs(self, a: np.ndarray, b: np.ndarray, left: np.ndarray):
+        """(row of a, row of b) within eps for pairs of cells, rows of a only
+        where ``left``; in parts of about PAIRS."""
+        count = np.diff(self.start)
+        work = np.cumsum(count[a] * count[b])
+        done = 0
+        while done < len(a):
+            upto = max(done + 1, int(np.searchsorted(work, (work[done - 1] if done else 0) + PAIRS, "right")))
+            na, nb = count[a[done:upto]], count[b[done:upto]]
+            which = np.repeat(np.arange(upto - done), na * nb)
+            at = np.arange(len(which)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+            p = self.order[self.start[a[done:upto]][which] + at // nb[which]]
+            q = self.order[self.start[b[done:upto]][which] + at % nb[which]]
+            ok = left[p]
+            p, q = p[ok], q[ok]
+            d2 = np.zeros(len(p))
+            for i in range(self.points.shape[1]):
+                d2 += (self.points[p, i] - self.points[q, i]) ** 2
+            ok = np.sqrt(d2) <= self.eps
+            yield p[ok], q[ok]
+            done = upto
+
+    def core(self) -> np.ndarray:
+        dense = self.size >= self.least
+        out = dense[self.cell].copy()
+        count = self.size[self.cell].astype(float)
+        a, b = self.pairs[:, 0], self.pairs[:, 1]
+        sides = [(a, b), (b, a)]
+        for x, y in sides:
+            open_ = ~dense[x]
+            for p, q in self._row_pairs(x[open_], y[open_], ~out):
+                np.add.at(count, p, self.weight[q])
+        return out | (count >= self.least)
+
+    def components(self, core: np.ndarray) -> np.ndarray:
+        """For every core row a number that core rows of its component share."""
+        has = np.zeros(len(self.size), bool)
+        has[self.cell[core]] = True
+        up = np.arange(len(self.size))
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        first = np.full(len(self.size), -1)
+        at = np.flatnonzero(core)
+        first[self.cell[at][::-1]] = at[::-1]
+        pairs = self.pairs[has[self.pairs[:, 0]] & has[self.pairs[:, 1]]] if len(self.pairs) else self.pairs
+        # one core row of each cell first: most links show there
+        d2 = ((self.points[first[pairs[:, 0]]] - self.points[first[pairs[:, 1]]]) ** 2).sum(1)
+        quick = np.sqrt(d2) <= self.eps
+        for a, b in pairs[quick].tolist():
+            up[find(a)] = find(b)
+        for a, b in pairs[~quick].tolist():
+            a_, b_ = find(a), find(b)
+            if a_ == b_:
+                continue
+            p, q = self.rows(a), self.rows(b)
+            p, q = p[core[p]], q[core[q]]
+            for k in range(0, len(p), 256):
+                if (distances(self.points[p[k:k + 256]], self.points[q]) <= self.eps).any():
+                    up[a_] = b_
+                    break
+        return np.array([find(c) for c in range(len(up))])[self.cell]
+
+    def touching(self, core: np.ndarray, group: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, component) for asked rows and the components with a core row
+        within eps of them."""
+        rows, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        hit = np.zeros(len(self.size), bool)
+        hit[self.cell[core]] = True
+        own = np.flatnonzero(asked & hit[self.cell])
+        first = np.full(len(self.size), -1)
+        at = np.flatnonzero(core)
+        first[self.cell[at]] = at
+        rows.append(own)
+        groups.append(group[first[self.cell[own]]])
+        wanted = np.zeros(len(self.size), bool)
+        wanted[self.cell[asked]] = True
+        a, b = (self.pairs[:, 0], self.pairs[:, 1])
+        for x, y in ((a, b), (b, a)):
+            use = wanted[x] & hit[y]
+            for p, q in self._row_pairs(x[use], y[use], asked):
+                p, q = p[core[q]], q[core[q]]
+                rows.append(p)
+                groups.append(group[q])
+        rows, groups = np.concatenate(rows), np.concatenate(groups)
+        both = np.unique(np.stack([rows, groups], 1), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+        return both[:, 0], both[:, 1]

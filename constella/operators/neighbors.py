@@ -6,10 +6,8 @@ No cross join: points are bucketed into cells and only rows of near cells
 meet.
 
 * kNN: over a cell tree (``celltree``), exact after two passes.
-* DBSCAN: cell side = eps, pairs within eps from neighbour cells; core points
-  by neighbour count; clusters = connected components of core points
-  (min-label propagation, lineage cut by reliable checkpoints); a border
-  point takes the smallest label among its core neighbours.
+* DBSCAN: cells of the tree with what lies within eps of them; inside, a grid
+  whose cells are cliques; clusters = connected components of the parts.
 * LOF: from the kNN table by joins and grouped aggregates.
 """
 
@@ -18,6 +16,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,26 +193,84 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_iter: int =
 
 # ------------------------------------------------------------------ DBSCAN
 def dbscan(points: DataFrame, cols: Sequence[str], eps: float = 0.5, min_samples: int = 5,
-           id_col: str = "row_id") -> DataFrame:
+           id_col: str = "row_id", cell_rows: int = celltree.CELL_ROWS) -> DataFrame:
     """(row_id, cluster, is_core); cluster -1 = noise. Clusters are numbered
     0.. by their smallest core row id (the order a scan in id order meets
-    them).
+    them); a border row takes the smallest cluster among its core neighbours.
 
     DBSCAN depends only on coordinates, so it runs on the *distinct*
-    coordinates with their multiplicity: a neighbour count is a weighted sum,
-    and a coordinate holding a third of all rows is one vertex, not a third
-    of all rows squared in pairs. Rows get their coordinate's label back by an
-    equi-join (AQE splits a hot key)."""
-    pts, coords = _distinct_coords(points, cols, id_col)
-    pairs = cut_lineage(neighbour_pairs(coords, cols, eps, "cid").where(F.col("dist") <= F.lit(eps)))
-    return _dbscan_labels(pts, coords, pairs, cols, min_samples, id_col)
-
-
-def _distinct_coords(points: DataFrame, cols: Sequence[str], id_col: str):
-    pts = points.select(_q(id_col), *[_q(c) for c in cols]).dropna()
-    coords = pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("cid"),
-                                                      F.count(F.lit(1)).alias("m"))
-    return pts, coords.persist()
+    coordinates with their multiplicity: a coordinate holding a third of all
+    rows is one vertex. Tasks get a cell of the cell tree and what lies within
+    eps of its box, and work on a grid of side eps / sqrt(d), whose cells need
+    no pairs inside (``grid_cells``): so a dense region costs its rows, not their
+    square. Components of the cells meet in the rows that several tasks saw.
+    With eps = 0 only equal coordinates are neighbours. Rows with a null, NaN or
+    infinite coordinate are noise."""
+    if eps < 0 or min_samples < 1:
+        raise ValueError("eps must not be negative and min_samples at least 1")
+    cols = list(cols)
+    pts = _finite(points, cols, id_col)
+    coords = settle(pts.groupBy(*[_q(c) for c in cols]).agg(F.min(_q(id_col)).alias("cid"), F.count(F.lit(1)).alias("m")))
+    near = _near_cells(coords, cols, eps, cell_rows)
+    whole = [*cols, "cid", "m", "cell", "own"]
+    shape = ", ".join([*(f"`{c}` double" for c in cols), "cid long, m long, cell int, own boolean"])
+
+    def cores(frame: pd.DataFrame) -> pd.DataFrame:
+        core = celltree.grid_cells(frame[cols].to_numpy(float), frame["m"].to_numpy(), eps, min_samples).core()
+        return frame[whole].assign(core=core)[frame["own"].to_numpy()][["cid", "core"]]
+
+    core = near.groupBy("cell").applyInPandas(cores, "cid long, core boolean")
+    told = settle(near.join(core, "cid"))
+
+    def parts(frame: pd.DataFrame) -> pd.DataFrame:
+        """kind 0: a core row and its component here; 1: a border row and a
+        component that it touches."""
+        grid = celltree.grid_cells(frame[cols].to_numpy(float), frame["m"].to_numpy(), eps, min_samples)
+        ids, is_core, own = frame["cid"].to_numpy(), frame["core"].to_numpy(bool), frame["own"].to_numpy(bool)
+        group = grid.components(is_core)
+        names = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(names, group[is_core], ids[is_core])
+        rows, touched = grid.touching(is_core, group, own & ~is_core)
+        return pd.concat([
+            pd.DataFrame({"id": ids[is_core], "part": names[group[is_core]], "kind": 0, "own": own[is_core]}),
+            pd.DataFrame({"id": ids[rows], "part": names[touched], "kind": 1, "own": True})])
+
+    found = settle(told.groupBy("cell").applyInPandas(parts, "id long, part long, kind int, own boolean"))
+    members = found.where("kind = 0")
+    comp = settle(connected_components(members.select("id").distinct(), members.where("id <> part").select(
+        F.col("id").alias("src"), F.col("part").alias("dst"))).select("id", "component"))
+    # clusters numbered 0.. by smallest core id, without a one-task window
+    number = global_row_number(comp.select("component").distinct(), ["component"], "__rn").select(
+        "component", (F.col("__rn") - 1).cast("int").alias("cluster"))
+    cluster = settle(comp.join(number, "component").select("id", "cluster"))
+    border = found.where("kind = 1").select(F.col("id").alias("edge"), F.col("part").alias("id")).join(cluster, "id").groupBy(
+        F.col("edge").alias("id")).agg(F.min("cluster").alias("cluster"))
+    labels = cluster.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
+    spots = coords.join(labels.withColumnRenamed("id", "cid"), "cid").select(*[_q(c) for c in cols], "cluster", "is_core")
+    out = points.select(_q(id_col)).join(pts.join(spots, cols).select(id_col, "cluster", "is_core"), id_col, "left")
+    return out.select(id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+
+
+def _near_cells(coords: DataFrame, cols: list[str], eps: float, cell_rows: int) -> DataFrame:
+    """Every coordinate once in its own cell and in each cell whose box is
+    within eps."""
+    placed, tree = celltree.build(coords, cols, cell_rows)
+    rows = placed.select(*[_q(c) for c in cols], "cid", "m", "cell", F.lit(True).alias("own"))
+    if len(tree.rows) == 1:
+        return settle(rows)
+    held = coords.sparkSession.sparkContext.broadcast(tree)
+
+    def send(frames):
+        t = held.value
+        for frame in frames:
+            for k in range(0, len(frame), 2000):
+                f = frame.iloc[k:k + 2000]
+                reach = t.gaps(f[cols].to_numpy(float)) <= eps
+                reach[np.arange(len(f)), f["cell"].to_numpy()] = False
+                r, c = np.nonzero(reach)
+                yield f.iloc[r].assign(cell=c.astype(np.int32), own=False)
+
+    return settle(rows.unionByName(rows.mapInPandas(send, rows.schema)))
 
 
 def dbscan_auto(points: DataFrame, cols: Sequence[str], min_samples_grid: Sequence[int] = (3, 5, 7, 10),
@@ -220,21 +278,17 @@ def dbscan_auto(points: DataFrame, cols: Sequence[str], min_samples_grid: Sequen
     """K5: eps candidates = the k-distance order statistic at 95 % (k = 5
     counting the point itself) times each factor; every (eps, min_samples)
     with at least two clusters is scored silhouette x (1 - noise share)
-    (squared-distance silhouette on non-noise rows). The neighbour pairs are
-    joined once at the largest eps and filtered for the others. Returns the
+    (squared-distance silhouette on non-noise rows). Returns the
     best (eps, min_samples), its labels and the score table."""
     from constella.operators.metrics import silhouette_sq
 
-    pts, coords = _distinct_coords(points, cols, id_col)
+    pts = settle(_finite(points, cols, id_col))
     n = pts.count()
-    base = eps_base(pts, cols, id_col)
+    base = eps_base(pts, cols, id_col) or 0.0
     grid = [(base * f, m) for f in factors for m in min_samples_grid if m < n]
-    top = max(e for e, _ in grid)
-    all_pairs = cut_lineage(neighbour_pairs(coords, cols, top, "cid").where(F.col("dist") <= F.lit(top)))
     rows, best = [], None
     for eps, m in grid:
-        pairs = all_pairs.where(F.col("dist") <= F.lit(eps))
-        lab = _dbscan_labels(pts, coords, pairs, cols, m, id_col).persist()
+        lab = settle(dbscan(pts, cols, eps, m, id_col))
         st = lab.agg(F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("k"),
                      F.avg((F.col("cluster") == -1).cast("double")).alias("noise")).first()
         score = None
@@ -264,31 +318,6 @@ def eps_base(points: DataFrame, cols: Sequence[str], id_col: str = "row_id", k:
     return order_statistic(kd, "kd", int(n * share))
 
 
-def _dbscan_labels(pts: DataFrame, coords: DataFrame, pairs: DataFrame, cols: Sequence[str], min_samples: int,
-                   id_col: str) -> DataFrame:
-    weight = coords.select(F.col("cid").alias("pid"), "m")
-    counts = pairs.join(weight, "pid").groupBy("qid").agg(F.sum("m").alias("n"))  # includes the point itself
-    core = counts.where(F.col("n") >= min_samples).select(F.col("qid").alias("id"))
-    core = cut_lineage(core)
-    core_edges = (pairs.where(F.col("qid") < F.col("pid"))
-                  .join(core.withColumnRenamed("id", "qid"), "qid", "left_semi")
-                  .join(core.withColumnRenamed("id", "pid"), "pid", "left_semi")
-                  .select(F.col("qid").alias("src"), F.col("pid").alias("dst")))
-    comp = connected_components(core, core_edges)
-    # clusters numbered 0.. by smallest core id, without a one-task window
-    number = global_row_number(comp.select("component").distinct(), ["component"], "__rn").select(
-        "component", (F.col("__rn") - 1).cast("int").alias("cluster"))
-    core_lab = comp.join(number, "component").select(F.col("id"), "cluster")
-    # border: non-core point with a core neighbour -> smallest neighbouring cluster
-    border = (pairs.join(core_lab.withColumnRenamed("id", "pid"), "pid")
-              .join(core.withColumnRenamed("id", "qid"), "qid", "left_anti")
-              .groupBy(F.col("qid").alias("id")).agg(F.min("cluster").alias("cluster")))
-    labels = core_lab.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
-    coord_labels = coords.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select(
-        *cols, F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
-    return pts.join(coord_labels, list(cols), "left").select(id_col, "cluster", "is_core")
-
-
 # ------------------------------------------------------------------ LOF
 def lof(points: DataFrame, cols: Sequence[str], k: int = 20, id_col: str = "row_id",
         knn: DataFrame | None = None) -> DataFrame:

@@ -219,3 +219,49 @@ def test_hdbscan_copies_nulls_and_few_rows(spark):
     few = H.hdbscan(df.limit(4), ["x", "y"], 10)
     assert {r["cluster"] for r in few.labels.collect()} == {-1} and few.clusters.count() == 0
     assert H.hdbscan(df.limit(0), ["x", "y"], 10).labels.count() == 0
+
+
+def plain_dbscan(points, eps, least):
+    near = plain_distances(points) <= eps
+    core = near.sum(1) >= least
+    label, k = [-1] * len(points), 0
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack = [i]
+            while stack:
+                x = stack.pop()
+                if label[x] < 0:
+                    label[x] = k
+                    stack += [y for y in np.flatnonzero(near[x] & core) if label[y] < 0]
+            k += 1
+    out = list(label)
+    for i in np.flatnonzero(~core):
+        out[i] = min((label[j] for j in np.flatnonzero(near[i] & core)), default=-1)
+    return out, core.tolist()
+
+
+@pytest.mark.parametrize("cell_rows, eps, least", [(20_000, 0.3, 5), (30, 0.3, 5), (20_000, 0.0, 4), (60, 2.0, 40), (30, 0.15, 1)])
+def test_dbscan_over_any_number_of_cells(spark, cloud, cell_rows, eps, least):
+    df = frame(spark, cloud).union(spark.createDataFrame([(900, None, 0.0, 0.0)], "row_id long, x double, y double, z double"))
+    got = {r["row_id"]: r for r in N.dbscan(df, XYZ, eps, least, cell_rows=cell_rows).collect()}
+    labels, core = plain_dbscan(cloud, eps, least)
+    assert [got[i]["cluster"] for i in range(len(cloud))] == labels
+    assert [got[i]["is_core"] for i in range(len(cloud))] == core
+    assert got[900]["cluster"] == -1
+
+
+def test_dbscan_of_a_dense_block(spark):
+    """200,000 rows with thousands of neighbours each."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(200_000).select(F.col("id").alias("row_id"), *[(F.rand(i) + F.when(F.col("id") % 10 == 0, 5.0).otherwise(0.0)).alias(c)
+                                                                    for i, c in enumerate(XYZ)]).repartition(8)
+    sizes = {r["cluster"]: r["n"] for r in N.dbscan(df, XYZ, 0.2, 5).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 20_000, 1: 180_000}
+
+
+def test_automatic_dbscan_of_copies(spark):
+    """The eps base is 0 where most rows are copies."""
+    df = frame(spark, np.concatenate([np.zeros((40, 2)), np.ones((40, 2))]))
+    best, table = N.dbscan_auto(df, ["x", "y"], min_samples_grid=(3,), factors=(1.0,))
+    assert table.first()["eps"] == 0.0 and best[0] == pytest.approx(1.0)
