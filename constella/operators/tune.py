@@ -33,6 +33,12 @@ DEFAULT_SPACES = {
     "isolation_forest": {"n_estimators": [50, 100, 200], "contamination": [0.05, 0.1, 0.15, 0.2],
                          "max_features": [0.5, 0.75, 1.0]},
 }
+# The algorithms suggested for small, medium and large inputs.
+SUGGESTED = {
+    "clustering": (["kmeans", "agglomerative"], ["kmeans", "dbscan"], ["kmeans", "dbscan", "hdbscan"]),
+    "dimensionality_reduction": (["pca"], ["tsne", "pca"], ["umap", "tsne"]),
+    "anomaly_detection": (["elliptic_envelope"], ["isolation_forest", "local_outlier_factor"], ["isolation_forest"]),
+}
 # ---------------------------------------------------------------------------
 
 
@@ -208,17 +214,14 @@ def recommend(df: DataFrame, cols: Sequence[str], task: str = "clustering") -> D
     strategy from the row and feature counts."""
     d = len(cols)
     n = F.col("n_samples")
-    algos = {"small": {"clustering": "kmeans,agglomerative", "dimensionality_reduction": "pca",
-                       "anomaly_detection": "elliptic_envelope"},
-             "medium": {"clustering": "kmeans,dbscan", "dimensionality_reduction": "tsne,pca",
-                        "anomaly_detection": "isolation_forest,local_outlier_factor"},
-             "large": {"clustering": "kmeans,dbscan,hdbscan", "dimensionality_reduction": "umap,tsne",
-                       "anomaly_detection": "isolation_forest"}}
-    size = F.when(n < 100, "small").when(n < 1000, "medium").otherwise("large")
-    suggested = F.when(n < 100, algos["small"][task]).when(n < 1000, algos["medium"][task]) \
-        .otherwise(algos["large"][task])
-    n_alg = F.size(F.split(suggested, ","))
-    strategy = F.when(n * n_alg > 10000, "random_search").otherwise("grid_search")
+
+    def by_size(small, medium, large):
+        return F.when(n < 100, small).when(n < 1000, medium).otherwise(large)
+
+    size = by_size("small", "medium", "large")
+    suggested = by_size(*(",".join(names) for names in SUGGESTED[task]))
+    trials = n * by_size(*(len(names) for names in SUGGESTED[task]))
+    strategy = F.when(trials > 10000, "random_search").otherwise("grid_search")
     return df.agg(F.count(F.lit(1)).alias("n_samples")).select(
         "n_samples", F.lit(d).cast("int").alias("n_features"), (n / F.lit(float(d))).alias("sample_to_feature_ratio"),
         size.alias("sample_size"), suggested.alias("suggested_algorithms"),
