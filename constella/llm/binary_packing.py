@@ -8,14 +8,15 @@ are stored together, so that a batch of one bucket has one shape.
 
 A text is split into the pre-tokens of the vocabulary's byte-level pattern;
 merges never cross them, so each distinct pre-token goes through the
-``tokenizers`` library once and its ids are remembered (a table of at most
-``REMEMBER`` pre-tokens a worker).
+``tokenizers`` library's merges once and its ids are remembered, as are those of
+what stands between two spaces (two generations of about ``REMEMBER`` strings a
+worker).
 
 Pieces are dealt evenly over the partitions by a running number, whatever
 document or copy they come from, sorted by length and written under
 ``length=...``. ``sequence_id`` holds the bucket (from bit 58), the partition
-(from bit 32) and the place in the bucket's part, so numbers are unique without
-a count over all rows.
+(from bit 33) and the place in it, so numbers are unique without a count over
+all rows.
 
 Ids are stored as little-endian unsigned numbers of ``width`` bytes: 2 where the
 vocabulary allows it, else 4.
@@ -28,56 +29,106 @@ text; extra columns are ignored; an empty table gives no sequences.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from constella.llm.common import share
 
-REMEMBER = 200_000
+REMEMBER = 400_000
 #: rows go on in groups of about this many bytes of text
 GROUP_BYTES = 4_000_000
 
 
+class Known(dict):
+    """Ids of strings, made once. Full, it becomes the generation that the next
+    one takes its frequent strings from."""
+
+    def __init__(self, make, older=None):
+        self.make, self.older = make, older or {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+    def renewed(self):
+        if len(self) < REMEMBER:
+            return self
+        self.older = {}
+        return Known(self.make, self)
+
+
+def _letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies:
+    printable ones for themselves, the others for 256, 257, ..."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+LETTERS = _letters()
+#: letters that every version of the character tables agrees on
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+
+
+def _plain(text: str) -> bool:
+    """No white space beside a space and no space at an end. Other white space
+    than spaces and new lines is never looked at closely."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+                or not text.replace("\n", "").isprintable())
+
+
 class Tokens:
     """Ids of texts as little-endian numbers of ``width`` bytes."""
 
     def __init__(self, vocabulary: str, pattern: str):
         with open(vocabulary, encoding="utf-8") as f:
             self.packed = f.read()
-        self.pattern, self.known, self.tokenizer = pattern, {}, None
-        self._open()
-        self.width = 2 if max(self.tokenizer.get_vocab().values()) < 1 << 16 else 4
-        self.tokenizer = self.split = None
+        self.pattern, self.known = pattern, None  # tables are made in the worker
+        self.width = 2 if max(self._tokenizer().get_vocab().values()) < 1 << 16 else 4
 
-    def _open(self):
-        import os
+    def _tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.packed)
 
+    def _open(self):
         import regex
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_str(self.packed)
-        self.tokenizer.encode_special_tokens = True
+        tokenize, kind = self._tokenizer().model.tokenize, "H" if self.width == 2 else "I"
         self.split = regex.compile(self.pattern).findall
 
+        def merged(word):
+            return array(kind, [t.id for t in tokenize(word.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+
+        self.known = Known(merged)
+        # a space and Latin letters are one pre-token
+        self.after_space = Known(lambda part: merged(" " + part) if LATIN(part) else self.whole(" " + part))
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.tokenizer is None:
+        if self.known is None:
             self._open()
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        words = [self.split(t) for t in texts]
-        new = list(set().union(*words).difference(known))
-        kind = f"<u{self.width}"
-        for k in range(0, len(new), 1000):
-            part = new[k:k + 1000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        self.known, self.after_space = self.known.renewed(), self.after_space.renewed()
+        out, ids = [], self.after_space.__getitem__
+        for text in texts:
+            if _plain(text):  # a space between two other signs always begins a pre-token
+                first, *parts = text.split(" ")
+                out.append(self.whole(first) + b"".join(map(ids, parts)))
+            else:
+                out.append(self.whole(text))
+        return out
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -129,8 +180,8 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, longest: int = 2048,
         count = (context.partitionId() if context else 0) << 36
         for batch in batches:
             begin, size, texts = 0, 0, []
-            for row in range(batch.num_rows):
-                texts.append(batch.column("text")[row].as_py() or "")
+            for row, text in enumerate(batch.column("text")):
+                texts.append(text.as_py() or "")
                 size += len(texts[-1])
                 if size >= GROUP_BYTES or row + 1 == batch.num_rows:
                     out = rows(batch.column("doc_id").slice(begin, len(texts)), texts, encode, count)
@@ -146,28 +197,12 @@ def pack(docs: DataFrame, path: str, vocabulary: str, pattern: str, longest: int
     """Writes all sequences to ``path``, one folder per length: doc_id, start,
     ids, ids_crc32, doc_tokens, sequence_id, offset (0: a sequence is one
     piece) and the partition column length."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def number(batches):
-        context = TaskContext.get()
-        part = (context.partitionId() if context else 0) << 32
-        seen: dict[int, int] = {}
-        for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            numbers = np.empty(len(lengths), np.int64)
-            for n in np.unique(lengths).tolist():
-                these = lengths == n
-                first = seen.get(n, 0)
-                seen[n] = first + int(these.sum())
-                numbers[these] = ((n.bit_length() - 1) << 58) + part + np.arange(first, seen[n])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers), pa.array(np.zeros(len(numbers), np.int64))],
-                names=[*batch.schema.names, "sequence_id", "offset"])
-
     dealt = (pieces(docs, vocabulary, pattern, longest, closing).repartition("spread")
              .sortWithinPartitions("length").drop("spread"))
-    dealt.mapInArrow(number, f"doc_id {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "
-                             "sequence_id long, offset long").write.partitionBy("length").parquet(path)
+    bucket = F.length(F.bin("length")) - 1
+    number = F.shiftleft(bucket.cast("long"), 58) + F.monotonically_increasing_id()
+    (dealt.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")})
+     .write.partitionBy("length").parquet(path))
 
 
 def read_packed(spark: SparkSession, path: str, id_kind: str = "long") -> DataFrame:
