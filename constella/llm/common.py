@@ -53,3 +53,20 @@ def share(spark: SparkSession, thing):
         return box["thing"]
 
     return get
+
+
+def give_back() -> None:
+    """Hands memory that earlier tasks of this Python worker freed back to the
+    system: workers live on from stage to stage, and what one stage needed
+    should not stay with them through the next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to hand back
+        pass

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from constella.llm.common import text_bytes
+from constella.llm.common import give_back, text_bytes
 
 SPAN = 100  # length of a repeated string
 GRAM = 24  # length of an anchor, a multiple of 8
@@ -484,7 +484,7 @@ def _cut(texts: pd.DataFrame, places: pd.DataFrame, keep_text: bool) -> pd.DataF
     """Digest (and text) of every document of a bucket."""
     t = _read_texts(texts)
     if not len(t.ids):
-        return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
+        return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "given"] * keep_text)
     edge = np.zeros(t.total + 1, np.int32)
     for data in places.data:
         doc, lo, hi = unpack_places(data, "<i8", "<i8")
@@ -507,47 +507,69 @@ def _cut(texts: pd.DataFrame, places: pd.DataFrame, keep_text: bool) -> pd.DataF
     pieces = [kept[a:b] for a, b in zip(start.tolist(), end.tolist())]
     out = pd.DataFrame({"doc_id": t.ids, "n_bytes": t.size, "n_removed": removed, "n_spans": rises[t.end] - rises[t.start],
                         "kept_sha256": [hashlib.sha256(x).hexdigest() for x in pieces]})
-    return out.assign(kept=pieces) if keep_text else out
+    if keep_text:
+        whole = text.tobytes()
+        out["kept"] = pieces
+        out["given"] = [hashlib.md5(whole[a:b]).hexdigest() for a, b in zip(t.start.tolist(), t.end.tolist())]
+    return out
+
+
+def _one(work):
+    return lambda frame: work(frame)
+
 
+def _two(work):
+    return lambda left, right: work(left, right)
 
-def dedup(docs: DataFrame, keep_text: bool = True, bucket_bytes: int = 12_000_000, hot: int = 500_000) -> DataFrame:
+
+def dedup(docs: DataFrame, keep_text: bool = True, bucket_bytes: int = 8_000_000, hot: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``keep_text``, the kept bytes."""
+    ``keep_text``, the kept bytes and the md5 of the given ones."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = d.where("doc_id IS NULL")
     d = d.where("doc_id IS NOT NULL")
     buckets = max(12, text_bytes(d) // bucket_bytes)
     by = lambda rows: rows.repartition(buckets, "bucket").groupBy("bucket")
+
+    def tidy(work):
+        def run(*frames):
+            give_back()
+            out = work(*frames)
+            del frames
+            give_back()
+            return out
+        return run
+
     texts = d.mapInArrow(lambda it: _text_rows(it, buckets), ROWS).repartition(buckets, "bucket")
     first = d.mapInArrow(lambda it: _anchor_rows(it, buckets), ROWS)
-    places = by(first).applyInPandas(lambda p: _candidates(p, buckets, hot), ROWS)
-    fetched = texts.groupBy("bucket").cogroup(by(places)).applyInPandas(lambda a, b: _contexts(a, b, buckets), ROWS)
-    gone = by(fetched).applyInPandas(lambda p: _match(p, buckets), ROWS)
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    out = texts.groupBy("bucket").cogroup(by(gone)).applyInPandas(lambda a, b: _cut(a, b, keep_text), shape)
+    places = by(first).applyInPandas(_one(tidy(lambda p: _candidates(p, buckets, hot))), ROWS)
+    fetched = texts.groupBy("bucket").cogroup(by(places)).applyInPandas(_two(tidy(lambda a, b: _contexts(a, b, buckets))), ROWS)
+    gone = by(fetched).applyInPandas(_one(tidy(lambda p: _match(p, buckets))), ROWS)
+    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, given string" * keep_text
+    out = texts.groupBy("bucket").cogroup(by(gone)).applyInPandas(_two(tidy(lambda a, b: _cut(a, b, keep_text))), shape)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rest = whole.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
                         F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"),
-                        *([text.alias("kept")] if keep_text else []))
+                        *([text.alias("kept"), F.md5(text).alias("given")] if keep_text else []))
     return out.unionByName(rest)
 
 
 def cut_repeats(docs: DataFrame, **tuning) -> DataFrame:
     """``docs`` with the repeats cut out of text (a character that loses some
     of its bytes goes) and n_chars, where present, counted anew."""
-    kept = dedup(docs, **tuning).select("doc_id", "n_bytes", F.col("kept")).dropDuplicates(["doc_id", "n_bytes"])
+    kept = dedup(docs, **tuning).select("doc_id", "given", "kept").dropDuplicates(["doc_id", "given"])
 
     def text(batches):
         for b in batches:
             yield pa.RecordBatch.from_pydict({
-                "__doc": b.column("doc_id"), "__bytes": b.column("n_bytes"),
+                "__doc": b.column("doc_id"), "__given": b.column("given"),
                 "__text": pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())})
 
-    kept = kept.mapInArrow(text, "__doc long, __bytes long, __text string")
-    keyed = docs.withColumn("__n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    on = (keyed["doc_id"].cast("long") == kept["__doc"]) & (keyed["__n"] == kept["__bytes"])
-    new = {"text": F.when(F.col("text").isNull(), F.col("text")).otherwise(F.coalesce("__text", "text"))}
-    out = keyed.join(kept, on, "left")
+    kept = kept.mapInArrow(text, "__doc long, __given string, __text string")
+    digest = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    on = (docs["doc_id"].cast("long") == kept["__doc"]) & (digest == kept["__given"])
+    new = {"text": F.when(docs["text"].isNull(), docs["text"]).otherwise(F.coalesce(kept["__text"], docs["text"]))}
+    out = docs.join(kept, on, "left")
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(new["text"]).cast(dict(docs.dtypes)["n_chars"])
-    return out.select(*[new[c].alias(c) if c in new else keyed[c] for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])

@@ -193,3 +193,12 @@ def test_cuts_are_binary():
     assert cuts(1, 2048) == [(0, 1)]
     assert cuts(2 * 2048 + 13, 2048) == [(0, 2048), (2048, 2048), (4096, 8), (4104, 4), (4108, 1)]
     assert cuts(3, 1) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_cut_repeats_keeps_texts_of_one_id_apart(spark):
+    from constella.llm.suffix_dedup import cut_repeats
+
+    passage = "".join(random.Random(1).choices("abcdefghij", k=150))
+    rows = [(1, "a" * 10, 0), (1, "b" * 10, 1), (2, passage + " first", 2), (3, passage + " then", 3), (4, None, 4), (None, "x", 5)]
+    got = {r["__n"]: r["text"] for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, __n long")).collect()}
+    assert got == {0: "a" * 10, 1: "b" * 10, 2: passage + " first", 3: "then", 4: None, 5: "x"}
