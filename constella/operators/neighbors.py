@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -286,18 +287,24 @@ def dbscan_auto(points: DataFrame, cols: Sequence[str], min_samples_grid: Sequen
     n = pts.count()
     base = eps_base(pts, cols, id_col) or 0.0
     grid = [(base * f, m) for f in factors for m in min_samples_grid if m < n]
-    rows, best = [], None
-    for eps, m in grid:
+
+    def score(candidate):
+        eps, m = candidate
         lab = settle(dbscan(pts, cols, eps, m, id_col))
         st = lab.agg(F.countDistinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("k"),
                      F.avg((F.col("cluster") == -1).cast("double")).alias("noise")).first()
-        score = None
+        value = None
         if st["k"] >= 2:
             sil = silhouette_sq(pts.join(lab.select(id_col, "cluster"), id_col), cols).first()[0]
-            score = None if sil is None else float(sil) * (1.0 - st["noise"])
-        rows.append((float(eps), int(m), int(st["k"]), float(st["noise"]), score))
-        if score is not None and (best is None or score > best[0]):
-            best = (score, eps, m, lab)
+            value = None if sil is None else float(sil) * (1.0 - st["noise"])
+        return (float(eps), int(m), int(st["k"]), float(st["noise"] or 0.0), value), lab
+
+    with ThreadPoolExecutor(max_workers=4) as pool:  # candidates are independent jobs
+        scored = list(pool.map(score, grid))
+    rows, best = [r for r, _ in scored], None
+    for (eps, m, _, _, value), lab in scored:
+        if value is not None and (best is None or value > best[0]):
+            best = (value, eps, m, lab)
     table = points.sparkSession.createDataFrame(
         rows, "eps double, min_samples int, n_clusters int, noise_ratio double, score double")
     return best, table
