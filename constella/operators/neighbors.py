@@ -67,10 +67,9 @@ def neighbour_pairs(points: DataFrame, cols: Sequence[str], r: float, id_col: st
 def _finite(points: DataFrame, cols: Sequence[str], id_col: str) -> DataFrame:
     """Rows whose coordinates are numbers: null, NaN and infinite ones have no
     distance and take no part."""
-    pts = points.select(_q(id_col).cast("long").alias(id_col), *[_q(c).cast("double").alias(c) for c in cols]).dropna()
-    for c in cols:
-        pts = pts.where(F.abs(_q(c)) < float("inf"))
-    return pts
+    pts = points.select(_q(id_col).cast("long").alias(id_col), *[_q(c).cast("double").alias(c) for c in cols])
+    # one condition for any number of columns; a null makes it null
+    return pts.where(F.col(id_col).isNotNull() & F.forall(F.array(*[_q(c) for c in cols]), lambda x: F.abs(x) < float("inf")))
 
 
 def knn_between(queries: DataFrame, data: DataFrame, cols: Sequence[str], k: int, id_col: str = "row_id",

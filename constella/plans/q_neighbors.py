@@ -85,3 +85,24 @@ def a4_lof(spark, sf):
     flagged, _ = A.threshold_flags(scored, 0.1)
     return flagged.select("row_id", round_to("score").alias("score"), "is_anomaly")
 
+
+
+@register("n3_knn_wide")
+def n3_knn_wide(spark, sf):
+    """Five nearest neighbours on all 64 embedding columns by random-projection
+    trees (recall is measured in tests/test_wide_neighbors.py)."""
+    from constella.operators import wide_neighbors as W
+    from constella.tables import WIDE, embedding_points
+
+    nb = W.knn_forest(embedding_points(spark, sf), WIDE, 5)
+    return nb.select("row_id", "neighbor_id", "rank", round_to("distance").alias("distance"))
+
+
+@register("n3_recall_wide")
+def n3_recall_wide(spark, sf):
+    """Recall of n3_knn_wide for the ids divisible by 50, against all rows."""
+    from constella.operators import wide_neighbors as W
+    from constella.tables import WIDE, embedding_points
+
+    pts = embedding_points(spark, sf)
+    return W.recall(pts, WIDE, W.knn_forest(pts, WIDE, 5), 5)
