@@ -173,14 +173,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, bits: int
 
 
 def train(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, bits: int = 20, steps: int = 200) -> Model:
-    """Model from at most ``per_grade`` labelled documents of each grade."""
+    """Model from at most ``per_grade`` labelled documents of each grade, one
+    row an id (of several, the text with the smallest digest)."""
     grade = 2 - F.when(F.col("toxic") == 1, 1).otherwise(0) - F.when(F.col("quality") == 0, 1).otherwise(0)
     rated = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
     some = None
     for g in range(GRADES):
         part = rated.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
         some = part if some is None else some.unionByName(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "grade").agg(
+        F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
 
     def featurise(batches):
         h = Hasher(bits)

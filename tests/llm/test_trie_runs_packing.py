@@ -202,3 +202,17 @@ def test_cut_repeats_keeps_texts_of_one_id_apart(spark):
     rows = [(1, "a" * 10, 0), (1, "b" * 10, 1), (2, passage + " first", 2), (3, passage + " then", 3), (4, None, 4), (None, "x", 5)]
     got = {r["__n"]: r["text"] for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, __n long")).collect()}
     assert got == {0: "a" * 10, 1: "b" * 10, 2: passage + " first", 3: "then", 4: None, 5: "x"}
+
+
+def test_classifier_takes_one_row_an_id(spark, monkeypatch):
+    """An id with thousands of rows brings one of them to the fit."""
+    from constella.llm import ordinal_quality as Q
+
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(3000)] + [(i, f"word{i} more") for i in range(2, 60)] + [(70, None)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(1, 60), 70]], "doc_id long, quality long, toxic long")
+    seen = []
+    fit = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest))
+    Q.train(docs, labels, per_grade=10)
+    assert seen == [20]
