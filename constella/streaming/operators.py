@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from constella.session import shared_dir
+from constella.session import settle, shared_dir
 
 WATERMARK = "10 minutes"
 
@@ -225,11 +225,23 @@ def connection_stats(events: DataFrame, window: str = "1 day", exact: bool = Fal
 
 
 # --------------------------------------------------------------- T5
-def route_to_watchers(events: DataFrame, watchers: DataFrame) -> DataFrame:
+def watch_groups(watchers: DataFrame, chunk: int = 250_000) -> DataFrame:
+    """The membership table by room, as lists: (room, group, watchers), a row
+    for a room's watchers in each stretch of ``chunk`` rows. Copies and null
+    ids stay; settled, so that the groups are the same whenever they are read."""
+    at = F.monotonically_increasing_id()
+    dealt = watchers.select("room", "watcher_id", F.floor(at / F.lit(chunk)).alias("group"))
+    return settle(dealt.groupBy("room", "group").agg(F.collect_list(F.struct("watcher_id")).alias("watchers")))
+
+
+def route_to_watchers(events: DataFrame, groups: DataFrame) -> DataFrame:
     """T5: deliver each dataset event to every watcher of its dataset
-    (stream-static equi-join; the membership table is the static side)."""
+    (stream-static equi-join; the membership table is the static side). A
+    delivery goes to a group of ``watch_groups``: (event_id, ts, room,
+    event_type, group) and the columns of ``groups``; ``watchers`` of a group
+    are its single receivers."""
     ev = events.select("event_id", "ts", (F.col("user_id") % 25).cast("int").alias("room"), "event_type")
-    return ev.join(watchers.select("room", "watcher_id"), "room")
+    return ev.join(groups, "room")
 
 
 # --------------------------------------------------------------- T6
