@@ -11,8 +11,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from constella.operators import celltree
+
+#: clusters that a silhouette expression holds as literals
+LITERAL_CLUSTERS = 32
 
 
 def _q(c: str) -> Column:
@@ -53,12 +60,17 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], label: str = "cluster", no
 
     For cluster C: sum_{y in C} |x - y|^2 = n_C |x|^2 - 2 x.S_C + Q_C, so a(x)
     (own cluster, self excluded) and b(x) (nearest other cluster) come from k
-    literal triples. Spark's ``ClusteringEvaluator`` uses the same measure."""
+    literal triples. Spark's ``ClusteringEvaluator`` uses the same measure.
+    More than ``LITERAL_CLUSTERS`` clusters make no expression: their triples
+    go to the tasks as arrays (``_silhouettes``)."""
     labels, n, s, q = cluster_stats(df, cols, label, noise)
     src = df.where(_q(label) != noise)
     if len(labels) < 2:
         return src.select(_q(label), F.lit(0.0).alias("silhouette")) if per_row else \
             df.sparkSession.createDataFrame([(None,)], "silhouette double")
+    if len(labels) > LITERAL_CLUSTERS:
+        rows = _silhouettes(src, list(cols), label, labels, n, s, q)
+        return rows if per_row else rows.agg(F.avg("silhouette").alias("silhouette"))
     x2 = sum([_q(c) * _q(c) for c in cols[1:]], _q(cols[0]) * _q(cols[0]))
     totals = []
     for i in range(len(labels)):
@@ -77,6 +89,39 @@ def silhouette_sq(df: DataFrame, cols: Sequence[str], label: str = "cluster", no
     return rows if per_row else rows.agg(F.avg("silhouette").alias("silhouette"))
 
 
+def _silhouettes(src: DataFrame, cols: list[str], label: str, labels: list, n, s, q) -> DataFrame:
+    """Silhouettes against many clusters. total_C(x) / n_C is |x - mean_C|^2
+    plus the variance of C, so the nearest other cluster is the nearest of the
+    points (mean, root of the variance) to (x, 0): found by boxes, then counted
+    from its sums."""
+    mean = s / n[:, None]
+    spread = np.sqrt(np.maximum(q / n - (mean * mean).sum(1), 0.0))
+    held = src.sparkSession.sparkContext.broadcast((np.array(labels), n, s, q, np.column_stack([mean, spread])))
+    kind = src.schema[label].dataType
+
+    def score(frames):
+        names, n, s, q, spots = held.value
+        numbers = np.arange(len(names))
+        for frame in frames:
+            x = frame[cols].to_numpy(float)
+            own = np.searchsorted(names, frame[label].to_numpy())
+            found, _ = celltree.nearest(np.column_stack([x, np.zeros(len(x))]), own, spots, numbers, 1)
+            norm = (x * x).sum(1)
+
+            def total(c):
+                return n[c] * norm - 2 * (x * s[c]).sum(1) + q[c]
+
+            other = found[:, 0]
+            a, b = total(own) / np.maximum(n[own] - 1, 1.0), total(other) / n[other]
+            top = np.maximum(a, b)
+            value = np.where(n[own] <= 1, 0.0, (b - a) / np.where(top == 0, 1.0, top))
+            empty = (n[own] > 1) & ((top == 0) | np.isnan(value))
+            yield pd.DataFrame({label: frame[label], "silhouette": pd.Series(value).where(~empty, None).to_numpy()})
+
+    return src.select(_q(label), *[_q(c).cast("double").alias(c) for c in cols]).mapInPandas(
+        score, T.StructType([T.StructField(label, kind), T.StructField("silhouette", T.DoubleType())]))
+
+
 def calinski_harabasz(df: DataFrame, cols: Sequence[str], label: str = "cluster", noise: int = -1) -> DataFrame:
     """Between / within dispersion ratio (K12) from per-cluster aggregates."""
     labels, n, s, q = cluster_stats(df, cols, label, noise)
