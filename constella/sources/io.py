@@ -138,11 +138,18 @@ def file_intake(spark: SparkSession, directory: str, declared: DataFrame | None
     [10 B, 100 MB], allowed MIME type, extension matching the MIME type,
     no dangerous characters in the name, Excel magic numbers. ``declared``
     (filename, mime) gives the MIME type the uploader claimed; otherwise it
-    is derived from the extension. Only the first 8 bytes of each file are
-    kept past the reader."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-             .select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"),
-                     F.substring("content", 1, 8).alias("head")))
+    is derived from the extension. Files are listed without their content; it
+    is read for those only whose first bytes decide (an Excel extension, a
+    size within the limits), and 8 bytes of it are kept."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory).select(
+        "path", F.col("length").alias("size"))
+    ends = sorted({e for mime in MAGIC for e in ALLOWED_TYPES[mime]})
+    by_end = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in ends)
+    heads = (spark.read.format("binaryFile").option("pathGlobFilter", "{" + by_end + "}").load(directory)
+             .where((F.col("length") >= MIN_FILE_BYTES) & (F.col("length") <= MAX_FILE_BYTES))
+             .select("path", F.substring("content", 1, 8).alias("head")))
+    files = listed.join(heads, "path", "left").select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "size", "head")
     if declared is not None:
         files = files.join(declared.select("filename", "mime"), "filename", "left")
         files = files.withColumn("mime", F.coalesce("mime", _mime_from_ext(F.col("filename"))))
@@ -161,7 +168,7 @@ def file_intake(spark: SparkSession, directory: str, declared: DataFrame | None
         starts = F.lit(False)
         for s in sigs:
             starts = starts | (F.substring("head", 1, len(s)) == F.lit(s))
-        magic_ok = magic_ok & ((F.col("mime") != mime) | (F.length("head") < 4) | starts)
+        magic_ok = magic_ok & ((F.col("mime") != mime) | F.col("head").isNull() | (F.length("head") < 4) | starts)
     reason = (F.when(F.col("size") > MAX_FILE_BYTES, "File too large")
               .when(F.col("size") < MIN_FILE_BYTES, "File is too small or empty")
               .when(~allowed, "Unsupported file type")
