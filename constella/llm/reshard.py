@@ -22,13 +22,15 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from constella.session import cut_lineage
 
 #: Row key of a table read from files.
 ROW = ["__file", "__line"]
+#: about how many runs of documents find their place by one row
+RUNS = 256
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -83,17 +85,27 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def plan(sized: DataFrame, shards: int, capacities: list[int] | None = None, partitions: int | None = None,
-         cost=lambda i, j: 0 if i == j else 1) -> DataFrame:
-    """``sized`` (doc_id, size, old_shard, ...) with shard and slot.
+def plan(sized: DataFrame, shards: int, **planning) -> DataFrame:
+    """``sized`` (doc_id, size, old_shard, ...) with shard and slot."""
+    return _plan(sized, shards, **planning).drop("__at")
+
+
+def _line(columns, size: str = "size") -> tuple[list, list[str]]:
+    """The order of an old shard's documents: size, doc_id, then what else
+    tells rows apart."""
+    return [F.desc(size), "doc_id"], [c for c in columns if c not in ("doc_id", "size", "old_shard")]
+
+
+def _plan(sized: DataFrame, shards: int, capacities: list[int] | None = None, partitions: int | None = None,
+          cost=lambda i, j: 0 if i == j else 1) -> DataFrame:
+    """``plan`` and __at, the first byte of a document on its old shard's line.
 
     Old shards beyond the new number must move wholly; capacities default to
     an even split of all bytes. The result reads a written table, so a retried
     task sees the same order."""
     n = partitions or max(sized.sparkSession.sparkContext.defaultParallelism, 1)
-    line = ["old_shard", F.desc("size"), "doc_id"]
-    tie = [c for c in sized.columns if c not in ("doc_id", "size", "old_shard")]
-    ranged = cut_lineage(sized.repartitionByRange(n, *line).sortWithinPartitions(*line, *tie)
+    line, tie = _line(sized.columns)
+    ranged = cut_lineage(sized.repartitionByRange(n, "old_shard", *line).sortWithinPartitions("old_shard", *line, *tie)
                          .withColumn("__pid", F.spark_partition_id())
                          .withColumn("__row", F.monotonically_increasing_id()))
     order = Window.partitionBy("__pid", "old_shard").orderBy("__row")
@@ -119,7 +131,7 @@ def plan(sized: DataFrame, shards: int, capacities: list[int] | None = None, par
                           ["__pid", "old_shard"])
               .withColumn("__at", F.col("__before") + F.sum("size").over(order) - F.col("size")))
     here = F.filter("__blocks", lambda b: b["first"] <= F.col("__at"))
-    placed = cut_lineage(placed.withColumn("shard", F.element_at(here, -1)["shard"]).drop("__blocks", "__before", "__at"))
+    placed = cut_lineage(placed.withColumn("shard", F.element_at(here, -1)["shard"]).drop("__blocks", "__before"))
     counts = placed.groupBy("__pid", "shard").agg(F.count(F.lit(1)).alias("n"))
     prior = Window.partitionBy("shard").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__pid", "shard", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("__base"))
@@ -141,15 +153,44 @@ def move(docs: DataFrame, new_path: str, shards: int, carry: tuple = (), **plann
     are. ``docs``: located documents with old_shard; the columns ``carry`` go
     through the plan and are not written. Returns the plan and the shards
     written or emptied."""
-    sized = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), "old_shard",
-                        *carry, *ROW)
-    p = cut_lineage(plan(sized, shards, **planning))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    sized = docs.select("doc_id", size.alias("size"), "old_shard", *carry, *ROW)
+    p = cut_lineage(_plan(sized, shards, **planning))
     moved = p.where(F.col("old_shard") != F.col("shard"))
     touched = [r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()]  # shards
-    wanted = p.where(F.col("shard").isin(touched) if touched else F.lit(False)).select(*ROW, "shard", "slot")
-    (docs.drop("old_shard", *carry).join(wanted, ROW).drop(*ROW).repartitionByRange("shard", "slot")
-     .sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(new_path))
-    return p.drop(*ROW), touched
+    wanted = F.col("shard").isin(touched) if touched else F.lit(False)
+    _place(docs.withColumn("__size", size), p, wanted).drop("__size", "old_shard", *carry, *ROW).write.partitionBy(
+        "shard").mode("overwrite").parquet(new_path)
+    return p.drop("__at", *ROW), touched
+
+
+def _place(docs: DataFrame, p: DataFrame, wanted: Column) -> DataFrame:
+    """``docs`` (with __size) and the shard and slot that ``p`` gives them, in
+    slot order.
+
+    The blocks of the plan are cut into runs of about a ``RUNS``-th of all
+    bytes. A run is known by its first document's key and slot, so a text finds
+    its run by its own key, without a join by row, and travels once."""
+    line, tie = _line([c for c in p.columns if c not in ("shard", "slot", "__at")], "__size")
+
+    def key(size: str) -> Column:
+        return F.struct((-F.col(size)).alias("size"), "doc_id", *tie)  # rises along the line; nulls first
+
+    total = p.agg(F.sum("size")).first()[0] or 0
+    run = F.floor(F.col("__at") / F.lit(max(total // RUNS, 1 << 20)))
+    first = p.where(wanted).groupBy("old_shard", "shard", run.alias("run")).agg(
+        F.min_by(key("size"), "__at").alias("key"), F.min("slot").alias("first"))  # RUNS + shards x shards rows
+    other = p.where(~wanted).groupBy("old_shard", "shard", run.alias("run")).agg(
+        F.min_by(key("size"), "__at").alias("key"), F.lit(None).cast("long").alias("first"))
+    runs = first.unionByName(other).groupBy("old_shard").agg(
+        F.sort_array(F.collect_list(F.struct("key", "shard", "first"))).alias("__runs"))
+    own = F.element_at(F.filter("__runs", lambda r: r["key"] <= F.col("__key")), -1)
+    found = (docs.join(F.broadcast(runs), "old_shard").withColumn("__key", key("__size")).withColumn("__run", own)
+             .withColumns({"shard": F.col("__run.shard"), "__first": F.col("__run.first")})
+             .drop("__runs", "__run", "__key").where("__first IS NOT NULL"))
+    order = Window.partitionBy("shard", "__first").orderBy(*line, *tie)
+    return (found.repartitionByRange("shard", "__first")
+            .withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).drop("__first"))
 
 
 def rewrite(spark, old_path: str, new_path: str, shards: int, **planning) -> DataFrame:
