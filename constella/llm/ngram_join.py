@@ -45,18 +45,22 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from constella.llm.common import share
+from constella.llm.common import give_back, share
 from constella.operators.neighbors import connected_components
 from constella.session import cut_lineage
 
 WORDS = 5
 SLICES = 16
+#: texts are cut into words in groups of about this many bytes
+GROUP_BYTES = 1_000_000
 #: shingle, document, size of its set, what the set has left from the shingle on
 POSTING = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("r", "<u4")])
 MIX = np.uint64(0x9E3779B97F4A7C15)
+PLACE, LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -67,31 +71,49 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Whole texts to sorted distinct shingle hashes."""
 
-    def __init__(self, words: int = WORDS, remember: int = 300_000):
-        self.words, self.remember, self.known = words, remember, {}
+    def __init__(self, words: int = WORDS):
+        self.words = words
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """The set of every text of a column. Texts are cut into words and
+        hashed together, in groups of about ``GROUP_BYTES``."""
+        group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // GROUP_BYTES
+        cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        return [s for lo, hi in zip(cut, cut[1:]) for s in self._group(texts.slice(lo, hi - lo))]
 
-    def shingles(self, text: str | None) -> np.ndarray:
+    def _group(self, texts: pa.Array) -> list[np.ndarray]:
         import xxhash
 
-        w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not w:
-            return np.zeros(0, np.uint64)
-        if len(w) < self.words:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(w), len(w))], np.uint64)
-        if len(self.known) > self.remember:
-            self.known.clear()
-        known = self.known
-        for x in set(w).difference(known):
-            known[x] = xxhash.xxh64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        m = len(w) - self.words + 1
+        # the kernel's white space is [\x20\x09-\x0D]; it leaves empty words at the ends of a text
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        there = np.array([len(x) > 0 for x in known], bool)[word]
+        if not there.all():
+            row, word = row[there], word[there]
+        h = np.array([xxhash.xxh64_intdigest(x) for x in known], np.uint64)[word]
+        n = np.bincount(row, minlength=len(texts))
+        m = max(len(h) - self.words + 1, 0)
         s = h[:m]
         for k in range(1, self.words):
             s = _mix(s * MIX + h[k:k + m])
-        return np.unique(s)
+        inside = row[:m] == row[self.words - 1:self.words - 1 + m]
+        s, at = s[inside], row[:m][inside]
+        ends = np.cumsum(np.bincount(at, minlength=len(texts))).tolist()
+        for lo, hi in zip([0, *ends], ends):
+            s[lo:hi].sort()
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1])
+        s, at = s[new], at[new]
+        ends = np.cumsum(np.bincount(at, minlength=len(texts))).tolist()
+        out = [s[lo:hi] for lo, hi in zip([0, *ends], ends)]
+        first = np.cumsum(n) - n
+        for i in np.flatnonzero((n > 0) & (n < self.words)).tolist():
+            w = [known[x] for x in word[first[i]:first[i] + n[i]].tolist()]
+            out[i] = np.array([xxhash.xxh64_intdigest(b" ".join(w), len(w))], np.uint64)
+        return out
 
 
 def _ids(col) -> list:
@@ -106,7 +128,7 @@ def measure(docs: DataFrame, tool, bits: int) -> tuple[DataFrame, np.ndarray]:
     def run(batches):
         counters, shingler = np.zeros(slots, np.uint32), tool()
         for b in batches:
-            sets = [shingler.shingles(t) for t in b.column("text").to_pylist()]
+            sets = shingler.sets(b.column("text"))
             if sets:
                 every = np.concatenate(sets)
                 found = np.bincount((every & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
@@ -143,8 +165,13 @@ class Order:
 
     def __init__(self, sketch: np.ndarray, fragments: int):
         self.sketch, self.mask = sketch, np.uint64(len(sketch) - 1)
-        levels = np.sort(sketch[sketch > 0])
-        mass = np.cumsum(levels, dtype=np.float64)
+        # the levels and how many counters stand at each, a slice at a time
+        levels, counters = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for part in np.array_split(sketch, SLICES):
+            v, c = np.unique(part[part > 0], return_counts=True)
+            levels, at = np.unique(np.r_[levels, v], return_inverse=True)
+            counters = np.bincount(at, np.r_[counters, c], minlength=len(levels))
+        mass = np.cumsum(levels * counters)
         cut = [np.searchsorted(mass, mass[-1] * k / fragments) for k in range(1, fragments)] if len(levels) else []
         self.pivots = np.unique(levels[np.minimum(cut, len(levels) - 1)]) if cut else np.zeros(0, np.uint32)
 
@@ -162,10 +189,10 @@ def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, spl
     def run(batches):
         shingler, o, first = tool(), order(), {}
         for b in batches:
-            ids, texts = _ids(b.column("doc_id")), b.column("text").to_pylist()
+            ids, sets = _ids(b.column("doc_id")), shingler.sets(b.column("text"))
             out, same = [], []
             for i in sorted(range(len(ids)), key=ids.__getitem__):
-                s = shingler.shingles(texts[i])
+                s = sets[i]
                 n = len(s)
                 if not n:
                     continue
@@ -175,7 +202,8 @@ def prefix_lists(docs: DataFrame, tool, order, threshold: int, buckets: int, spl
                     continue
                 f = o.frequency(s)
                 k = n - -(-threshold * n // 100) + 1
-                keep = np.lexsort((s, f))[:k]
+                # a set is sorted, so places stand for hashes
+                keep = np.sort((f.astype(np.uint64) << PLACE) | np.arange(n, dtype=np.uint64))[:k] & LOW
                 out.append((ids[i], n, s[keep], f[keep]))
             if same:
                 yield _row(-1, np.array(same, "<i8").tobytes())
@@ -339,12 +367,13 @@ def verify(pairs: DataFrame, docs: DataFrame, tool, order, threshold: int, membe
         shingler, o = tool(), order()
         for b in batches:
             cols = {k: [] for k in ("lead", "salt", "fragment", "doc_id", "set", "n", "data")}
-            for i, t, tasks in zip(_ids(b.column("doc_id")), b.column("text").to_pylist(), b.column("tasks").to_pylist()):
-                s = shingler.shingles(t)
+            for i, s, tasks in zip(_ids(b.column("doc_id")), shingler.sets(b.column("text")), b.column("tasks").to_pylist()):
                 f = o.fragment(s)
                 own = int(np.frombuffer(_digest8(s.tobytes()), "<i8")[0])
-                for k in np.unique(f).tolist():
+                for k in range(len(o.pivots) + 1):
                     data = s[f == k].tobytes()
+                    if not data:
+                        continue
                     for x in tasks:
                         for c, v in zip(cols.values(), (x["lead"], x["salt"], k, i, own, len(s), data)):
                             c.append(v)
@@ -357,16 +386,24 @@ def verify(pairs: DataFrame, docs: DataFrame, tool, order, threshold: int, membe
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         # rows of one doc_id with equal sets count once; its other sets are pairs of their own
         pdf = pdf[~pdf.duplicated(["lead", "salt", "doc_id", "set"])]
+        pdf = pdf.sort_values(["lead", "salt"], kind="stable")
+        leads, salts, ids = (pdf[c].to_numpy() for c in ("lead", "salt", "doc_id"))
+        own, n, data = pdf["set"].tolist(), pdf.n.tolist(), pdf.data.tolist()
+        starts = np.flatnonzero(np.r_[True, (leads[1:] != leads[:-1]) | (salts[1:] != salts[:-1])][:len(pdf)]).tolist()
         got = []
-        for (lead, _), g in _runs(pdf):
-            first = g[g.doc_id == lead]
-            heads = [(np.frombuffer(h, np.uint64), a, m) for h, a, m in zip(first.data, first["set"].tolist(), first.n.tolist())]
-            for y, b, n, data in zip(g.doc_id.tolist(), g["set"].tolist(), g.n.tolist(), g.data):
-                if y != lead:
-                    s = np.frombuffer(data, np.uint64)
-                    for h, a, m in heads:
-                        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                        got.append((lead, y, a, b, m, n, int((h[at] == s).sum())))
+        for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+            lead, first = int(leads[lo]), ids[lo:hi] == leads[lo]
+            heads, members = (np.flatnonzero(first) + lo).tolist(), (np.flatnonzero(~first) + lo).tolist()
+            if not heads or not members:
+                continue
+            parts = [data[i] for i in members]
+            s = np.frombuffer(b"".join(parts), np.uint64)
+            begin = np.cumsum([0, *(len(x) // 8 for x in parts[:-1])])
+            for a in heads:
+                h = np.frombuffer(data[a], np.uint64)
+                common = h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s
+                overlap = np.add.reduceat(common.astype(np.int64), begin).tolist()
+                got += [(lead, int(ids[i]), own[a], own[i], n[a], n[i], v) for i, v in zip(members, overlap)]
         return pd.DataFrame(got, columns=["x", "y", "sx", "sy", "nx", "ny", "o"]).astype("int64")
 
     partial = pieces.groupBy("g", "fragment").applyInPandas(
@@ -375,14 +412,6 @@ def verify(pairs: DataFrame, docs: DataFrame, tool, order, threshold: int, membe
     return both.where(100 * F.col("o") >= threshold * (F.col("nx") + F.col("ny") - F.col("o"))).select("x", "y").distinct()
 
 
-def _runs(pdf: pd.DataFrame):
-    pdf = pdf.sort_values(["lead", "salt"], kind="stable")
-    key = pdf.lead.to_numpy(), pdf.salt.to_numpy()
-    starts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
-    for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)]):
-        yield (key[0][lo], key[1][lo]), pdf.iloc[lo:hi]
-
-
 def _list(docs: bytes, sizes: bytes, rests: bytes, threshold: int):
     n = np.frombuffer(sizes, "<u4").astype(np.int64)
     return np.frombuffer(docs, "<i8"), n, _reach(n, np.frombuffer(rests, "<u4"), threshold)
@@ -486,8 +515,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 80, bits: int = 22, fragme
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tool = share(spark, Shingler())
     sizes, sketch = measure(docs, tool, bits)
-    order = share(spark, Order(sketch, fragments))
     buckets = int(max(12, sketch.sum(dtype=np.float64) * (100 - threshold) / 100 // postings))
+    order = share(spark, Order(sketch, fragments))
+    del sketch
+    give_back()  # the driver's copies of the sketch
     lists, same = prefix_lists(docs, tool, order, threshold, buckets, split_at)
     edges = cut_lineage(verify(cut_lineage(leader_pairs(lists, threshold)), docs, tool, order, threshold).unionByName(same))
     components = _components(edges)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from constella.llm.common import share
+from constella.llm.common import give_back, share
 
 
 GRADES = 3
@@ -197,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = 3000, bits: int =
     order = sorted(range(table.num_rows), key=lambda i: table["doc_id"][i].as_py())
     at, x, g = table["at"], table["x"], table["grade"].to_numpy()
     rows = [(at[i].values.to_numpy(), x[i].values.to_numpy()) for i in order]
-    return fit(rows, g[order].astype(np.int64), bits, steps) if rows else Model(None, None, bits)
+    model = fit(rows, g[order].astype(np.int64), bits, steps) if rows else Model(None, None, bits)
+    del table, at, x, g, rows
+    give_back()  # what the fit held on the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
