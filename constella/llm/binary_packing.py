@@ -35,6 +35,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +77,21 @@ def _letters() -> dict[int, int]:
 
 
 LETTERS = _letters()
+LETTERS_SPACE = chr(LETTERS[32])
 #: letters that every version of the character tables agrees on
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 
+#: signs that are a pre-token of their own between a letter and a space
+CLOSING = frozenset(".,;:!?")
+
+
+def _letters_of(word: str) -> str:
+    """The letters of a pre-token's bytes; printable ASCII but the space
+    stands for itself."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", LETTERS_SPACE)
+    return word.encode().decode("latin-1").translate(LETTERS)
+
 
 def _plain(text: str) -> bool:
     """No white space beside a space and no space at an end. Other white space
@@ -108,11 +121,17 @@ class Tokens:
         self.split = regex.compile(self.pattern).findall
 
         def merged(word):
-            return array(kind, [t.id for t in tokenize(word.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            return array(kind, [t.id for t in tokenize(_letters_of(word))]).tobytes()
 
         self.known = Known(merged)
-        # a space and Latin letters are one pre-token
-        self.after_space = Known(lambda part: merged(" " + part) if LATIN(part) else self.whole(" " + part))
+        self.after_space = Known(self._after_space)
+
+    def _after_space(self, part: str) -> bytes:
+        if LATIN(part):  # a space and Latin letters are one pre-token
+            return self.known.make(" " + part)
+        if part[-1:] in CLOSING and LATIN(part[:-1]):  # so is the sign behind them, where the part ends
+            return self.after_space[part[:-1]] + self.known[part[-1]]
+        return self.whole(" " + part)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.split(text)))
@@ -121,14 +140,30 @@ class Tokens:
         if self.known is None:
             self._open()
         self.known, self.after_space = self.known.renewed(), self.after_space.renewed()
-        out, ids = [], self.after_space.__getitem__
-        for text in texts:
-            if _plain(text):  # a space between two other signs always begins a pre-token
-                first, *parts = text.split(" ")
-                out.append(self.whole(first) + b"".join(map(ids, parts)))
-            else:
-                out.append(self.whole(text))
-        return out
+        plain = [_plain(t) for t in texts]
+        ids = iter(self._plain_texts([t for t, p in zip(texts, plain) if p]))
+        return [next(ids) if p else self.whole(t) for t, p in zip(texts, plain)]
+
+    def _plain_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts. A space between two other signs always begins a
+        pre-token, so a text is its parts between spaces; each distinct part
+        of the texts is looked up once."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        count = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        ids = list(map(self.after_space.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
+        part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        part[np.cumsum(count) - count] = np.arange(len(ids), len(ids) + len(texts))  # no space before the first
+        ids += [self.whole(t.split(" ", 1)[0]) for t in texts]
+        n = np.array([len(x) // self.width for x in ids])
+        body, start = np.frombuffer(b"".join(ids), f"<u{self.width}"), np.cumsum(n) - n
+        n, start = n[part], start[part]
+        ends = np.cumsum(n)
+        body = body[np.arange(ends[-1]) + np.repeat(start - (ends - n), n)].tobytes()
+        ends = (ends[np.cumsum(count) - 1] * self.width).tolist()
+        return [body[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
