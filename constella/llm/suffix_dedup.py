@@ -39,6 +39,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,9 @@ BEFORE = SPAN - GRAM  # a window starts at most so far before its anchor
 SHALLOW = 40  # bytes sorted by multikey quicksort, a multiple of 8
 WINDOWS = BEFORE + 1  # anchors a window can choose from
 PLACE = 22  # bits of a position inside a segment
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+PIECE = 8_000_000  # bytes of text that a task handles at once
+ROUND = 8_192  # contexts that are looked at and dropped at once
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -175,9 +178,13 @@ class Texts:
         b = np.frombuffer(self.buf, np.uint8)
         left = np.minimum(pos, BEFORE)
         right = np.minimum(self.size[row] - pos, SPAN)
+        # rows of a view: no position of a single byte is written down
+        out = np.lib.stride_tricks.sliding_window_view(b, BEFORE + SPAN)[SPAN - BEFORE + self.start[row] + pos]
         at = np.arange(-BEFORE, SPAN)
-        out = b[(SPAN + self.start[row] + pos)[:, None] + at]
-        out[(at < -left[:, None]) | (at >= right[:, None])] = 0
+        edge = np.flatnonzero((left < BEFORE) | (right < SPAN))
+        for s in range(0, len(edge), ROUND):
+            r = edge[s:s + ROUND]
+            out[r] = np.where((at < -left[r, None]) | (at >= right[r, None]), np.uint8(0), out[r])
         return out, left.astype(np.uint8), right.astype(np.uint8)
 
 
@@ -318,13 +325,27 @@ def matched(ctx, left, right, doc, pos):
 
 
 # ------------------------------------------------------------------ the job
+def pieces(batches, size: int = PIECE):
+    """(ids, texts) of stretches of rows with at most ``size`` bytes of text, or
+    one row; what a stretch needed is handed back before the next."""
+    for b in batches:
+        give_back()
+        ids = b.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+        texts = b.column("text").cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+            yield ids[lo:hi], [t or b"" for t in texts.slice(lo, hi - lo).to_pylist()]
+            lo = hi
+    give_back()
+
+
 def _text_rows(batches, buckets: int):
     """Texts packed by bucket of doc_id (kind 0)."""
-    for b in batches:
-        ids = np.array(b.column("doc_id").cast(pa.int64()).to_pylist(), np.int64)
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+    for ids, texts in pieces(batches):
         out = []
-        for k, rows in split(bucket_of(ids, buckets), buckets) if len(ids) else ():
+        for k, rows in split(bucket_of(ids, buckets), buckets):
             part = [texts[i] for i in rows]
             out.append((k, pack(ids[rows], np.array([len(t) for t in part], "<i8"), np.frombuffer(b"".join(part), np.uint8))))
         yield table([k for k, _ in out], [0] * len(out), [d for _, d in out])
@@ -343,17 +364,17 @@ def _read_texts(rows: pd.DataFrame) -> Texts:
 
 def _anchor_rows(batches, buckets: int):
     """Anchors by bucket of their hash (kind 1) and ranges settled here (2)."""
-    for b in batches:
-        ids = np.array(b.column("doc_id").cast(pa.int64()).to_pylist(), np.int64)
-        t = Texts(ids, [(x or "").encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()])
-        p, h = anchors(t.buf[SPAN:], t.total)
+    for ids, texts in pieces(batches):
+        t = Texts(ids, texts)
+        del texts
+        p, h = anchors(memoryview(t.buf)[SPAN:], t.total)
         row = np.searchsorted(t.end, p, side="right")
         pos = p - t.start[row] if len(p) else p
         inside = pos + GRAM <= t.size[row] if len(p) else np.zeros(0, bool)
         row, pos, h = row[inside], pos[inside], h[inside]
         keep, gone = [], []
-        for s in range(0, len(row), 100_000):  # in order, so the earliest context comes first
-            ctx, left, right = t.contexts(row[s:s + 100_000], pos[s:s + 100_000])
+        for s in range(0, len(row), ROUND):  # in order, so the earliest context comes first
+            ctx, left, right = t.contexts(row[s:s + ROUND], pos[s:s + ROUND])
             keep.append(np.stack([*key128(ctx, left, right), left.astype(np.uint64), right.astype(np.uint64)]))
         if not keep:
             continue
@@ -468,7 +489,9 @@ def _match(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
         doc, pos, left, right, ctx = doc[order], pos[order], left[order], right[order], ctx.reshape(len(order), -1)[order]
         on, gone = settle(ctx, left, right, doc, pos)
         ranges(*gone)
-        ranges(*matched(ctx[on], left[on].astype(np.int64), right[on].astype(np.int64), doc[on], pos[on]))
+        ctx = ctx[on]
+        ranges(*matched(ctx, left[on].astype(np.int64), right[on].astype(np.int64), doc[on], pos[on]))
+        del ctx
     parts = [unpack_places(d, "<i8", "<u8", "<u8") for d in pdf.data[pdf.kind == 6]]
     if parts:
         doc, pos, a, c = (np.concatenate([x[i] for x in parts]) for i in range(4))
@@ -485,32 +508,39 @@ def _cut(texts: pd.DataFrame, places: pd.DataFrame, keep_text: bool) -> pd.DataF
     t = _read_texts(texts)
     if not len(t.ids):
         return pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "given"] * keep_text)
-    edge = np.zeros(t.total + 1, np.int32)
+    starts, ends, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for data in places.data:
         doc, lo, hi = unpack_places(data, "<i8", "<i8")
         a, b = np.searchsorted(t.ids, doc), np.searchsorted(t.ids, doc, side="right")
         take = np.repeat(np.arange(len(doc)), b - a)
         row = np.arange(len(take)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[take]
-        np.add.at(edge, t.start[row] + np.minimum(lo[take], t.size[row]), 1)
-        np.add.at(edge, t.start[row] + np.minimum(hi[take], t.size[row]), -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    text = np.frombuffer(t.buf, np.uint8, t.total, SPAN)
-    before = np.r_[0, np.cumsum(gone)]
-    removed = before[t.end] - before[t.start]
-    first = np.zeros(t.total + 1, bool)
-    first[t.start] = True
-    rise = gone & (first[:-1] | ~np.r_[False, gone[:-1]]) if t.total else gone
-    rises = np.r_[0, np.cumsum(rise)]
-    kept = text[~gone].tobytes()
-    end = t.end - before[t.end]
-    start = t.start - before[t.start]
-    pieces = [kept[a:b] for a, b in zip(start.tolist(), end.tolist())]
-    out = pd.DataFrame({"doc_id": t.ids, "n_bytes": t.size, "n_removed": removed, "n_spans": rises[t.end] - rises[t.start],
-                        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in pieces]})
+        lo, hi = np.minimum(lo[take], t.size[row]), np.minimum(hi[take], t.size[row])
+        some = lo < hi
+        row = row[some]
+        starts.append(t.start[row] + lo[some])
+        ends.append(t.start[row] + hi[some])
+        rows.append(row)
+    lo, hi, row = np.concatenate(starts), np.concatenate(ends), np.concatenate(rows)
+    order = np.argsort(lo, kind="stable")
+    lo, hi, row = lo[order], hi[order], row[order]
+    # ranges that overlap or touch in a document are one run
+    new = np.flatnonzero(np.r_[True, (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (row[1:] != row[:-1])][:len(lo)])
+    lo, hi, row = lo[new], np.maximum.reduceat(hi, new) if len(new) else hi, row[new]
+    before = np.r_[0, np.cumsum(hi - lo)]  # bytes in the runs before each
+    upto = np.searchsorted(row, np.arange(len(t.ids)), side="right")
+    below = np.searchsorted(row, np.arange(len(t.ids)))
+    keep = np.ones(t.total, bool)
+    for a, b in zip(lo.tolist(), hi.tolist()):
+        keep[a:b] = False
+    text = memoryview(t.buf)[SPAN:SPAN + t.total]
+    kept = np.frombuffer(text, np.uint8)[keep].tobytes()
+    del keep
+    cut = [kept[a:b] for a, b in zip((t.start - before[below]).tolist(), (t.end - before[upto]).tolist())]
+    out = pd.DataFrame({"doc_id": t.ids, "n_bytes": t.size, "n_removed": before[upto] - before[below], "n_spans": upto - below,
+                        "kept_sha256": [hashlib.sha256(x).hexdigest() for x in cut]})
     if keep_text:
-        whole = text.tobytes()
-        out["kept"] = pieces
-        out["given"] = [hashlib.md5(whole[a:b]).hexdigest() for a, b in zip(t.start.tolist(), t.end.tolist())]
+        out["kept"] = cut
+        out["given"] = [hashlib.md5(text[a:b]).hexdigest() for a, b in zip(t.start.tolist(), t.end.tolist())]
     return out
 
 
@@ -561,9 +591,11 @@ def cut_repeats(docs: DataFrame, **tuning) -> DataFrame:
 
     def text(batches):
         for b in batches:
+            give_back()
             yield pa.RecordBatch.from_pydict({
                 "__doc": b.column("doc_id"), "__given": b.column("given"),
                 "__text": pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())})
+        give_back()
 
     kept = kept.mapInArrow(text, "__doc long, __given string, __text string")
     digest = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
